@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from saltmarsh.llm.bpe import op8_bpe
 from saltmarsh.llm.packing import op7_packing
+from saltmarsh.llm.sharding import OP2_SQL, op2_sharding
 from saltmarsh.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op7_packing, op8_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op7_packing, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": OP2_SQL}
