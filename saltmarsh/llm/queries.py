@@ -10,11 +10,12 @@ from saltmarsh.llm.bpe import op8_bpe
 from saltmarsh.llm.packing import op7_packing
 from saltmarsh.llm.sharding import OP2_SQL, op2_sharding
 from saltmarsh.llm.simhash import op1_simhash
+from saltmarsh.llm.warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op7_packing, op8_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op4_warc, op7_packing, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL}
+    return {"op2_sharding": OP2_SQL, "op4_warc": OP4_SQL}
