@@ -53,7 +53,7 @@ def symbols(text: str) -> Iterator[np.ndarray]:
         if len(far):
             known[far] = [unicodedata.category(chr(c))[0] == "L" for c in code[far].tolist()]
         code = np.where(known, code, 0)
-        code = np.concatenate([carry, code, np.zeros(at + BLOCK >= len(text), np.int64)])
+        code = np.concatenate([carry, code, np.zeros(int(at + BLOCK >= len(text)), np.int64)])
         code = code[np.concatenate([[True], (code[1:] != 0) | (code[:-1] != 0)])]
         yield code
         carry = code[-(N - 1) :]
