@@ -11,6 +11,7 @@ from saltmarsh.llm.embeddings import op3_embeddings
 from saltmarsh.llm.jpeg import op6_jpeg
 from saltmarsh.llm.langid import op10_langid
 from saltmarsh.llm.packing import op7_packing
+from saltmarsh.llm.pii import op5_pii
 from saltmarsh.llm.ppm import op9_ppm
 from saltmarsh.llm.sharding import OP2_SQL, op2_sharding
 from saltmarsh.llm.simhash import op1_simhash
@@ -18,7 +19,7 @@ from saltmarsh.llm.warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_embeddings, op4_warc, op6_jpeg, op7_packing, op8_bpe, op9_ppm, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_embeddings, op4_warc, op5_pii, op6_jpeg, op7_packing, op8_bpe, op9_ppm, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
