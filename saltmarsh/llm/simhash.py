@@ -38,13 +38,21 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per document, fp the fingerprint's bits as a signed bigint."""
+    return with_fingerprints(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "fp", words, seed, keep_text=False)
+
+
+def with_fingerprints(docs: DataFrame, name: str, words: int = 3, seed: int = 42, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the fingerprint's bits as a signed bigint in column ``name``."""
+    at = docs.columns.index(text_col)
+    kept = [i for i, c in enumerate(docs.columns) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = np.array([fingerprint(x.as_py(), words, seed) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(x.as_py(), words, seed) for x in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found)], [*(batch.schema.names[i] for i in kept), name])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for i, f in enumerate(docs.schema) if i in kept)
+    return docs.mapInArrow(run, f"{ddl}`{name}` bigint")
 
 
 def ring(segments: int = 5) -> list[tuple[int, int]]:
@@ -110,12 +118,29 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     """
     shared_dir(docs.sparkSession)
     own = written(fingerprints(docs, words, seed, id_col, text_col), "simhash")
+    return own.join(classes(own), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classes(own: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of a written table (doc_id, fp): each fingerprint's component, named by its least
+    fingerprint, and the component's least id."""
     fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     groups = components(links(fps.select("fp")))
     named = fps.join(groups.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one of each component does: that of the least id (ids that are null come
+    last; of equal ids any one). Columns stay as they are."""
+    shared_dir(docs.sparkSession)
+    fp, row = "__saltmarsh_fp", "__saltmarsh_row"
+    own = written(with_fingerprints(docs, fp, text_col=text_col).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    narrow = own.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(fp).alias("fp"), row)
+    first = narrow.join(classes(narrow.select("doc_id", "fp")).select("fp", "component"), "fp").groupBy("component")
+    keep = first.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
+    return own.join(keep.select(row), row, "left_semi").drop(row, fp)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
