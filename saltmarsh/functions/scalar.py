@@ -20,7 +20,7 @@ def interval_text(micros: Column) -> Column:
     units = (("d", 86_400_000_000), ("h", 3_600_000_000), ("m", 60_000_000), ("s", 1_000_000), ("ms", 1000))
     size, out = F.abs(micros), F.concat(micros.cast("string"), F.lit("us"))
     for name, width in reversed(units):
-        text = F.regexp_replace(F.format_number(micros / width, "0.###"), r"\.$", "")
+        text = F.regexp_replace(F.call_function("format_number", micros / width, F.lit("0.###")), r"\.$", "")
         out = F.when(size >= width, F.concat(text, F.lit(name))).otherwise(out)
     return out
 

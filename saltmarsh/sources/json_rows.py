@@ -26,7 +26,7 @@ def _typed(field: T.StructField) -> Column:
     if isinstance(kind, T.IntegralType):
         good, value = whole & raw.try_cast(kind).isNotNull(), raw.try_cast(kind)
     elif isinstance(kind, T.DecimalType):
-        good, value = whole & ~raw.startswith("-") & (raw.try_cast("decimal(38,0)") < F.lit(2**64).cast("decimal(38,0)")), raw.try_cast(kind)
+        good, value = whole & ~raw.startswith("-") & (raw.try_cast("decimal(38,0)") < F.lit(str(2**64)).cast("decimal(38,0)")), raw.try_cast(kind)
     elif isinstance(kind, T.FractionalType):
         good, value = number, raw.try_cast(kind)
     elif isinstance(kind, T.BooleanType):
@@ -88,7 +88,7 @@ def read_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
         elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
             c = F.timestamp_millis(c).cast(kind)
         elif isinstance(kind, T.DecimalType):
-            c = F.when((c < 0) | (c >= F.lit(2**64).cast("decimal(38,0)")), _fail(f.name, "out of range", c.cast("string"))).otherwise(c).cast(kind)
+            c = F.when((c < 0) | (c >= F.lit(str(2**64)).cast("decimal(38,0)")), _fail(f.name, "out of range", c.cast("string"))).otherwise(c).cast(kind)
         if not f.nullable:
             c = F.when(c.isNull(), _fail(f.name, "NOT NULL", F.lit(None).cast("string"))).otherwise(c)
         out.append(c.alias(f.name))
