@@ -66,11 +66,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by written() that nothing reads any more."""
-    path = getattr(df, "saltmarsh_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "saltmarsh_path", None):
+        removed(df.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -16,12 +16,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import new_path, pieces, shared_dir, written
+from saltmarsh.llm.common import dropped, new_path, pieces, removed, shared_dir, written
 
 #: Bytes of the longest context. A context and its byte are 48 bits; the other 16 number the texts of a block.
 ORDER = 5
@@ -101,8 +102,8 @@ GATHERED = "kind int, chunk bigint, doc_id bigint, held_out boolean, text binary
 
 
 def gathered(docs: DataFrame, held: Column, id_col: str, text_col: str) -> str:
-    """Reads every text once. Writes, by kind, below the returned path: 0 the texts (A-Z in lower case) in chunks of
-    about CHUNK_BYTES; 1 the distinct words of each chunk with their counts in learned documents; 2 counts of
+    """Reads every text once. Writes, by kind, below the returned path: 0 the texts (A-Z in lower case, compressed, as they
+    are shuffled later) in chunks of about CHUNK_BYTES; 1 the distinct words of each chunk with their counts in learned documents; 2 counts of
     contexts with their bytes in learned documents, summed over each task."""
     spark = docs.sparkSession
     names = [x.split()[0] for x in GATHERED.split(", ")]
@@ -122,13 +123,14 @@ def gathered(docs: DataFrame, held: Column, id_col: str, text_col: str) -> str:
                 yield batch(len(own), kind=[1] * len(own), chunk=[chunk] * len(own), word=own, n=[known[k] for k in own])
             chunk, words, known, size = chunk + 1, Counter(), Counter(), 0
 
+        small = zstandard.ZstdCompressor(level=3)
         for b in pieces(batches, most=CHUNK_BYTES // 4):
             texts = [(x or "").encode().lower() for x in b.column(2).to_pylist()]
             held = b.column(1).to_pylist()
             for x, h in zip(texts, held):
                 (words if h else known).update(x.split())
             grams.add([x for x, h in zip(texts, held) if not h])
-            yield batch(len(texts), kind=[0] * len(texts), chunk=[chunk] * len(texts), doc_id=b.column(0), held_out=held, text=texts)
+            yield batch(len(texts), kind=[0] * len(texts), chunk=[chunk] * len(texts), doc_id=b.column(0), held_out=held, text=[small.compress(x) for x in texts])
             size += sum(map(len, texts))
             if size >= CHUNK_BYTES:
                 yield from close()
@@ -186,6 +188,8 @@ def fit(grams: DataFrame) -> Model:
         first = F.log10(F.col("c") / (F.col("n") + F.col("d")))
         entries.append(_sorted_files(level.withColumn("ctx", F.expr("shiftright(code, 8)")).join(sums, "ctx").select("code", "c", first.alias("first")), "ppm-entries"))
         contexts_.append(_sorted_files(sums.selectExpr("ctx code", "n", "d", "x"), "ppm-lookup"))
+        dropped(level)
+        dropped(sums)
         level = lower
     return Model(tuple(entries[::-1]), tuple(contexts_[::-1]), bool(entries[-1].uris))
 
@@ -302,6 +306,7 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
     texts = kind(0, "chunk bigint, doc_id bigint, held_out boolean, text binary")
     words = kind(1, "chunk bigint, word binary, n bigint")
     model = fit(kind(2, "code bigint, n bigint"))
+    removed(spark, f"{path}/kind=2")  # the model's tables have it all
     counts = written(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "ppm-words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = texts.where("not held_out").count()
@@ -318,6 +323,8 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
         logs = dict(zip(keys, (np.log10(right.column("c").to_numpy() + 0.1) - floor).tolist()))
         del keys
         ids, held, raw = (left.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))
+        large = zstandard.ZstdDecompressor()
+        raw = [large.decompress(x) for x in raw]
         tokens, known, base = [], [], []
         for x in raw:
             own = x.split()
