@@ -78,7 +78,7 @@ class Writer:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         own = dictionary(self.held)
         self.zip = zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=True)
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)
         raw = own.as_bytes()
         self.out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
         for data in self.held:
@@ -95,7 +95,7 @@ class Writer:
 def read(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an archive, in constant memory beside one record."""
     own, path = fs.FileSystem.from_uri(uri)
-    with own.open_input_stream(path) as source:
+    with own.open_input_stream(path, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{uri}: no dictionary frame")
