@@ -1,0 +1,104 @@
+import struct
+
+import numpy as np
+import pytest
+
+from saltmarsh.llm import jpeg
+
+
+def bits_of(value):
+    """Category and magnitude bits of a coefficient."""
+    n = abs(value).bit_length()
+    return n, format(value if value >= 0 else value + (1 << n) - 1, f"0{n}b") if n else ""
+
+
+AC = [0x00, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 11)]
+
+
+def other_jpeg(width, height, sampling, restart, seed):
+    """A baseline JPEG with other tables, AC coefficients and components; and its luminance DC coefficients."""
+    rng = np.random.default_rng(seed)
+    part = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+    h, v = sampling[0] if len(sampling) > 1 else (1, 1)
+    wide, high = -(-width // (8 * h)), -(-height // (8 * v))
+    grid = np.zeros((high * v, wide * h), int)
+    bits, scan, before, number = "", b"", [0] * len(sampling), 0
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        raw = int(bits, 2).to_bytes(len(bits) // 8, "big") if bits else b""
+        bits = ""
+        return raw.replace(b"\xff", b"\xff\x00")
+
+    for mcu in range(wide * high):
+        if restart and mcu and mcu % restart == 0:
+            scan += flush() + bytes([0xFF, 0xD0 + number % 8])
+            before, number = [0] * len(sampling), number + 1
+        for c in range(len(sampling)):
+            ch, cv = sampling[c] if len(sampling) > 1 else (1, 1)
+            for y in range(cv):
+                for x in range(ch):
+                    dc = int(rng.integers(-200, 200))
+                    if c == 0:
+                        grid[mcu // wide * v + y, mcu % wide * h + x] = dc
+                    n, magnitude = bits_of(dc - before[c])
+                    bits += format(n, "04b") + magnitude
+                    before[c], k = dc, 1
+                    while k < 64 and rng.random() < 0.6:
+                        run = int(rng.integers(0, 20))
+                        if k + run > 63:
+                            break
+                        while run > 15:
+                            bits += format(AC.index(0xF0), "08b")
+                            run, k = run - 16, k + 16
+                        n, magnitude = bits_of(int(rng.choice([-1, 1])) * int(rng.integers(1, 500)))
+                        bits += format(AC.index(run << 4 | n), "08b") + magnitude
+                        k += run + 1
+                    if k < 64:
+                        bits += format(AC.index(0), "08b")
+    scan += flush()
+    frame = struct.pack(">BHHB", 8, height, width, len(sampling)) + b"".join(bytes([i + 1, a << 4 | b, min(i, 1)]) for i, (a, b) in enumerate(sampling))
+    dc_table = bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
+    ac_table = bytes([0] * 7 + [len(AC)] + [0] * 8) + bytes(AC)
+    quant = b"\x00\x03" + bytes(range(2, 65)) + b"\x01" + b"\x09" * 64
+    head = b"\xff\xd8" + part(0xE0, b"JFIF\x00\xff\xda") + part(0xDB, quant) + part(0xC0, frame) + part(0xC4, b"\x00" + dc_table + b"\x10" + ac_table)
+    if restart:
+        head += part(0xDD, struct.pack(">H", restart))
+    head += part(0xDA, bytes([len(sampling)]) + b"".join(bytes([i + 1, 0]) for i in range(len(sampling))) + b"\x00\x3f\x00")
+    light = np.clip((grid * 3 + 4) // 8 + 128, 0, 255).astype(np.uint8)
+    return head + scan + b"\xff\xd9", light[: -(-height // 8), : -(-width // 8)]
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(2, 2)], [(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1), (1, 1)]])
+def test_reads_other_baseline_images(sampling):
+    made = [other_jpeg(w, h, sampling, r, i) for i, (w, h, r) in enumerate([(64, 48, 0), (17, 33, 0), (100, 9, 3), (40, 40, 1), (8, 8, 5)])]
+    images = [x for data, _ in made for x in jpeg.read(data)]
+    for (_, wanted), found in zip(made, jpeg.thumbnails(images)):
+        assert (found == wanted).all() and found.shape == wanted.shape
+
+
+def test_refuses_what_is_no_baseline_image():
+    data = jpeg.encode([b"\xff" * 576])[0]
+    for bad in (b"no image", data.replace(b"\xff\xc0", b"\xff\xc2", 1), data[:-2], data.replace(b"\xff\xd0", b"\x00\x00", 1)):
+        with pytest.raises(ValueError):
+            jpeg.thumbnails(jpeg.read(bad))
+
+
+def test_payloads_come_back(monkeypatch):
+    rng = np.random.default_rng(1)
+    payloads = [rng.integers(0, 256, 576 * n, dtype=np.uint8).tobytes() for n in (1, 2, 5, 341, 342, 700)] + [b"\xff" * 576, bytes(range(256)) * 9]
+    assert [len(jpeg.read(x)) for x in jpeg.encode(payloads)] == [1, 1, 1, 1, 2, 3, 1, 1]
+    monkeypatch.setattr(jpeg, "CHUNK", 100_000)
+    assert [p for p, _ in jpeg.describe(jpeg.encode(payloads))] == payloads
+
+
+def test_column_and_features(spark, docs, plain):
+    media = jpeg.media_column(docs)
+    found = jpeg.media_features(media).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_bytes, r.payload_bytes) for r in found))) == sorted(map(str, ((i, len((t or "").encode()), len(jpeg.padded(t))) for i, t in plain)))
+    assert all(r.feature.split(":")[0].startswith("192x") and r.media_bytes > 0 for r in found)
+    assert jpeg.media_features(jpeg.media_column(docs.limit(0))).count() == 0
+    thumb = np.arange(24 * 24, dtype=np.uint8).reshape(24, 24)
+    assert jpeg.hashes(thumb) == jpeg.hashes(thumb.copy()) != jpeg.hashes(thumb.T)
+    assert len(jpeg.hashes(np.zeros((1, 1), np.uint8))) == 33
