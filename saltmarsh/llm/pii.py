@@ -251,7 +251,8 @@ def found(texts: list[str], weights: Weights) -> list[tuple[list[Span], list[Spa
 
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Weights:
     """Fits the field on the TRAIN_DOCS documents of least id hash that hold a digit or @ (TRAIN_TOKENS tokens of
-    them at most), labelled by the patterns. Their graphs are made on the executors."""
+    them at most, none from a document with more than a tenth of that), labelled by the patterns. Their graphs are
+    made on the executors. With no such document the field adds nothing of its own but what repeats a match."""
     shared_dir(docs.sparkSession)
     rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     top = rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from saltmarsh.llm.bpe import op8_bpe
-from saltmarsh.llm.embeddings import op3_embeddings
+from saltmarsh.llm.embeddings import OP3_SQL, op3_embeddings
 from saltmarsh.llm.jpeg import op6_jpeg
 from saltmarsh.llm.langid import op10_langid
 from saltmarsh.llm.packing import op7_packing
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op4_warc": OP4_SQL}
+    return {"op2_sharding": OP2_SQL, "op3_embeddings": OP3_SQL, "op4_warc": OP4_SQL}
