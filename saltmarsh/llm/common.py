@@ -34,15 +34,15 @@ def shipped(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    It is set here only where the session names none, which is allowed for a local master alone.
+    Where the session names none, which is allowed for a local master alone, it is a temporary one.
     """
     shipped(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "saltmarsh_folder", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="saltmarsh-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = sc.saltmarsh_folder = "file://" + tempfile.mkdtemp(prefix="saltmarsh-")
     if not 0 < int(re.sub(r"\D", "", str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) or 0) <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
@@ -51,7 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/saltmarsh/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/saltmarsh/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all intermediate tables and archives of this application; results that weren't saved are lost."""
+    removed(spark, f"{shared_dir(spark)}/saltmarsh/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
