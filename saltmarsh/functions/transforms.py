@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -44,8 +45,11 @@ def check_field(field: PartitionField, schema: T.StructType) -> None:
 
 def string_date(c: Column) -> Column:
     """The time that a string holds in one of the layouts; a string that fits none is an error."""
-    layouts = [*DATE_FORMATS, *(f"{f} HH:mm:ss" for f in DATE_FORMATS)]
-    found = F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in layouts))
+    # Each layout has its own shape, so only one is parsed; failed parses are what costs.
+    found = F.lit(None).cast("timestamp")
+    for layout in (x for f in DATE_FORMATS for x in (f, f"{f} HH:mm:ss")):
+        shape = "^" + re.sub("[a-zA-Z]", "[0-9]", layout) + "$"
+        found = F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(layout))).otherwise(found)
     return F.when(c.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit("not a date: "), c))).otherwise(found)
 
 

@@ -134,10 +134,10 @@ simple("agg_after_join", f"SELECT n_name, COUNT(*) AS n, {_money('o_totalprice')
 
 @register(f"SELECT c_mktsegment, COUNT(*) AS n, {_money('o_totalprice')} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 1000 GROUP BY c_mktsegment ORDER BY c_mktsegment LIMIT 10")
 def flagship(t) -> DataFrame:
-    """Scan, filter, join, aggregate, sort and limit. Orders are counted by customer before they meet the customers."""
-    by = t("orders").where("o_totalprice > 1000").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(col("o_totalprice").cast("decimal(18,2)")).alias("r"))
-    both = R.join(t("customer").select("c_custkey", "c_mktsegment"), by, "c_custkey", "o_custkey")
-    out = both.groupBy("c_mktsegment").agg(F.sum("n").alias("n"), F.sum("r").cast("double").alias("revenue"))
+    """Scan, filter, join, aggregate, sort and limit."""
+    orders = t("orders").where("o_totalprice > 1000").select("o_custkey", "o_totalprice")
+    both = R.join(t("customer").select("c_custkey", "c_mktsegment"), orders, "c_custkey", "o_custkey")
+    out = both.groupBy("c_mktsegment").agg(F.count("*").alias("n"), money("o_totalprice").alias("revenue"))
     return R.limit(R.order(out, "c_mktsegment"), 10)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,12 +21,12 @@ from saltmarsh.sources.kv import KvDatabase
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "saltmarsh_tables", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="saltmarsh-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = sc.saltmarsh_tables = tempfile.mkdtemp(prefix="saltmarsh-")
     return f"{root.rstrip('/')}/saltmarsh-tables/{tag}-{uuid.uuid4().hex}"
 
 
