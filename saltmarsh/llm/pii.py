@@ -2,13 +2,15 @@
 
 Tokens that hold a digit or @ are nodes; every other token is outside by definition, which cuts the chain
 exactly. Neighbours share chain potentials, and repeated or similar tokens anywhere in a document share skip
-potentials. Tokens of pattern matches have their labels fixed; loopy message passing carries them to the rest.
+potentials: each with the latest repeat before it, and with a repeat of fixed label if there is any. Tokens of
+pattern matches have their labels fixed; loopy message passing carries them to the rest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -99,7 +101,7 @@ class Graph(NamedTuple):
 
 def graph(text: str, base: list[Span]) -> Graph:
     g = Graph([], [], [], [], [], [])
-    latest: dict[str, int] = {}
+    repeats: dict[str, list[int]] = {}
     last, b = 0, 0
     for m in TOKEN.finditer(text):
         start, end = m.start(), m.end()
@@ -131,10 +133,20 @@ def graph(text: str, base: list[Span]) -> Graph:
         if i and start - g.ends[i - 1] <= 2:
             g.chain.append((i - 1, i))
         for key in {own.lower(), digits if len(digits) >= 6 else own.lower()}:
-            if key in latest:
-                g.skip.append((latest[key], i))
-            latest[key] = i
+            if key in repeats:
+                g.skip.append((repeats[key][-1], i))
+            repeats.setdefault(key, []).append(i)
         last = end
+    met = set(g.skip)
+    for own in repeats.values():
+        known = [i for i in own if g.fixed[i] >= 0]
+        for p, i in enumerate(own if known else ()):
+            if g.fixed[i] < 0 and all(g.fixed[j] < 0 for j in own[max(0, p - 1) : p + 2]):
+                hub = known[max(0, bisect(known, i) - 1)]  # the last fixed one before, or the first of all
+                edge = (min(hub, i), max(hub, i))
+                if edge not in met:
+                    met.add(edge)
+                    g.skip.append(edge)
     return g
 
 
