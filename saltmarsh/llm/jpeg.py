@@ -1,7 +1,7 @@
 """Media columns: bytes kept losslessly as baseline JPEG, and a reader of baseline JPEG for thumbnails.
 
 The writer makes each payload byte the DC coefficient of one 8x8 block of a greyscale image, with a restart
-marker after each row of blocks. The reader takes any baseline JPEG: it parses markers, decodes the Huffman
+marker after each row of blocks. The reader takes baseline JPEGs of one scan: it parses markers, decodes the Huffman
 scans of all restart intervals of a batch in step with each other, and rebuilds the luminance at an eighth of
 the size from the DC coefficients.
 """
