@@ -6,6 +6,8 @@ scan as filters limit what is read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,23 @@ def log(df: DataFrame, key: Column, version: Column, deleted: Column, *value: Co
     return df.select(key.alias("key"), version.alias("version"), deleted.alias("deleted"), *value)
 
 
+def _order(columns: list[str], kinds: dict[str, str]) -> Column:
+    """Version, then a hash of the rest: which of two rows of one version counts doesn't depend on their place."""
+    hashed = [F.col(f"`{c}`") for c in columns if not kinds[c].startswith(("map", "variant")) and "map<" not in kinds[c]]
+    return F.struct("version", F.xxhash64(*hashed)) if hashed else F.struct("version")
+
+
 def snapshot(changes: DataFrame, as_of=None, tombstones: bool = False, all_versions: bool = False) -> DataFrame:
     """The log's state: the newest version of each key, not newer than ``as_of``, unless that is a tombstone (kept if
-    ``tombstones``). ``all_versions`` gives every visible version instead."""
+    ``tombstones``). ``all_versions`` gives every visible version instead. Of rows with the same key and version one
+    counts: the same one always, by a hash of its values."""
     seen = changes if as_of is None else changes.where(F.col("version") <= as_of)
-    if not all_versions:
-        rest = [c for c in seen.columns if c not in ("key", "version")]
-        seen = seen.groupBy("key").agg(F.max(F.struct("version")).alias("_v"), F.max_by(F.struct(*rest), "version").alias("_r"))
-        seen = seen.select("key", F.col("_v.version").alias("version"), *(F.col(f"_r.`{c}`").alias(c) for c in rest)).select(*changes.columns)
+    rest = [c for c in seen.columns if c not in ("key", "version")]
+    order = _order(rest, dict(seen.dtypes))
+    keys = ["key", "version"] if all_versions else ["key"]
+    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), order).alias("_r")
+    found = seen.groupBy(*keys).agg(last) if all_versions else seen.groupBy("key").agg(F.max("version").alias("version"), last)
+    seen = found.select("key", "version", *(F.col(f"_r.`{c}`").alias(c) for c in rest)).select(*changes.columns)
     return seen if tombstones else seen.where(~F.col("deleted"))
 
 
@@ -86,11 +97,25 @@ def compacted(*logs: DataFrame, partitions: int | None = None) -> DataFrame:
     return out.sortWithinPartitions("key", "version")
 
 
-def check_limits(df: DataFrame, key: str = "key", value: str | None = None) -> DataFrame:
-    """The rows, with an error when an empty or oversized key or value is met."""
-    def bounded(c: str, most: int) -> Column:
-        size = F.octet_length(F.col(c))
-        return F.when(F.col(c).isNull() | (size == 0) | (size > most), F.raise_error(F.lit(f"{c} must have 1 to {most} bytes"))).otherwise(F.col(c)).alias(c)
-
-    checks = {key: MAX_KEY} | ({value: MAX_VALUE} if value else {})
-    return df.select(*(bounded(c, checks[c]) if c in checks else F.col(f"`{c}`") for c in df.columns))
+def value_size(columns: list[str], kinds: dict[str, str]) -> Column:
+    """Bytes of a value: those of its one text or binary column, or of all columns' texts and one byte a column."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`") if kinds[c] in ("string", "binary") else F.to_json(F.struct(f"`{c}`"))), F.lit(0)) for c in columns]
+    if len(columns) == 1 and kinds[columns[0]] in ("string", "binary"):
+        return texts[0]
+    return sum(texts, F.lit(len(columns)))
+
+
+def check_limits(df: DataFrame, key: str = "key", values: Sequence[str] = ()) -> DataFrame:
+    """The rows, with an error when an empty or oversized key or value is met. ``values`` make the value; rows that are
+    ``deleted`` have none."""
+    kinds = dict(df.dtypes)
+    size = F.octet_length(F.col(f"`{key}`"))
+    bad = F.col(f"`{key}`").isNull() | (size == 0) | (size > MAX_KEY)
+    checked = F.when(bad, F.raise_error(F.lit(f"key must have 1 to {MAX_KEY} bytes")))
+    if values:
+        size = value_size(list(values), kinds)
+        bad = (size == 0) | (size > MAX_VALUE)
+        if "deleted" in kinds:
+            bad &= ~F.col("deleted")
+        checked = checked.when(bad, F.raise_error(F.lit(f"value must have 1 to {MAX_VALUE} bytes")))
+    return df.select(*(checked.otherwise(F.col(f"`{c}`")).alias(c) if c == key else F.col(f"`{c}`") for c in df.columns))

@@ -42,14 +42,36 @@ class KvTable:
         head = [T.StructField("key", T.StringType(), False), T.StructField("version", T.LongType(), False), T.StructField("deleted", T.BooleanType(), False)]
         self.log_schema = T.StructType([*head, *schema])
 
-    def log(self) -> DataFrame:
+    def _state(self) -> tuple[int, dict]:
+        """Number and content of the last published compaction; 0 before the first."""
         store = Storage(self.spark)
-        return self.spark.read.schema(self.log_schema).parquet(self.path) if store.exists(self.path) else self.spark.createDataFrame([], self.log_schema)
+        names = [x.path for x in store.list(f"{self.path}/state") if x.path.endswith(".json")]
+        if not names:
+            return 0, {"base": None, "covered": []}
+        last = max(names)
+        return int(last.rpartition("/")[2].removesuffix(".json")), json.loads(store.read(last))
+
+    def _appended(self) -> list[str]:
+        """Folders of appends that are complete."""
+        found = Storage(self.spark).list(f"{self.path}/log", recursive=True)
+        return [x.path.rpartition("/")[0] for x in found if x.path.endswith("/_SUCCESS")]
+
+    def folders(self) -> list[str]:
+        """What makes the log: the last compaction's folder, and the appends that it doesn't cover."""
+        appended = self._appended()  # before the state: a compaction in between covers some of these, and has them
+        _, state = self._state()
+        gone = set(state["covered"])
+        return [*([f"{self.path}/{state['base']}"] if state["base"] else []), *(x for x in appended if x.rpartition("/")[2] not in gone)]
+
+    def log(self) -> DataFrame:
+        folders = self.folders()
+        return self.spark.read.schema(self.log_schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.log_schema)
 
     def append(self, changes: DataFrame) -> None:
-        """Appends rows of the log's shape; what is written is durable."""
-        checked = kv.check_limits(changes.select(*self.log_schema.fieldNames()))
-        checked.write.mode("append").option("parquet.bloom.filter.enabled#key", "true").parquet(self.path)
+        """Appends rows of the log's shape, in a folder of their own that counts once it is complete; what is written is
+        durable. Keys and values out of their limits fail the write."""
+        checked = kv.check_limits(changes.select(*self.log_schema.fieldNames()), values=self.schema.fieldNames())
+        checked.write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/log/{uuid.uuid4().hex}")
 
     def put(self, key: str, **value) -> int:
         return self.put_batch([(key, value)])
@@ -109,21 +131,43 @@ class KvTable:
         return kv.snapshot(self.log(), as_of, tombstones, all_versions)
 
     def compact(self) -> dict[str, int]:
-        """Rewrites the log sorted by key, all versions kept, and tells files and bytes before and after. The new files are
-        written before the old ones go."""
+        """Rewrites the log sorted by key, all versions kept, and tells files and bytes before and after.
+
+        What is appended meanwhile stays. A new state is published by creating its file, which only one of two
+        compactions can; a crash before that leaves the old state whole, and one after it leaves files that nothing
+        reads. Files that were compacted stay for those who read them and are deleted by the next compaction."""
         store = Storage(self.spark)
-        old = [x for x in store.list(self.path, recursive=True) if x.path.endswith(".parquet")]
+        number, state = self._state()
+        covered, appended = set(state["covered"]), self._appended()
+        for x in appended:
+            if x.rpartition("/")[2] in covered:
+                store.delete(x)
+        here = {x.rpartition("/")[2] for x in appended} - covered
+        for x in store.list(self.path):
+            if x.is_dir and x.path.rpartition("/")[2].startswith("base-") and self._older(x.path, state["base"]):
+                store.delete(x.path)
+        folders = [*([f"{self.path}/{state['base']}"] if state["base"] else []), *(f"{self.path}/log/{x}" for x in sorted(here))]
+        old = self._files(folders)
         if not old:
             return {"files_before": 0, "files_after": 0, "bytes_before": 0, "bytes_after": 0}
-        new = f"{self.path}-compact-{uuid.uuid4().hex}"
-        kv.compacted(self.log()).write.option("parquet.bloom.filter.enabled#key", "true").parquet(new)
-        size = sum(x.size for x in old)
-        aside = f"{self.path}-old-{uuid.uuid4().hex}"
-        store.rename(self.path, aside)
-        store.rename(new, self.path)
-        store.delete(aside)
-        now = [x for x in store.list(self.path, recursive=True) if x.path.endswith(".parquet")]
-        return {"files_before": len(old), "files_after": len(now), "bytes_before": size, "bytes_after": sum(x.size for x in now)}
+        base = f"base-{number + 1:08d}-{uuid.uuid4().hex}"
+        rows = kv.compacted(self.spark.read.schema(self.log_schema).parquet(*folders))
+        rows.write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{base}")
+        try:
+            store.create(f"{self.path}/state/{number + 1:08d}.json", json.dumps({"base": base, "covered": sorted(x.rpartition("/")[2] for x in appended)}))
+        except CommitConflict:
+            store.delete(f"{self.path}/{base}")
+            raise
+        now = self._files([f"{self.path}/{base}"])
+        return {"files_before": len(old), "files_after": len(now), "bytes_before": sum(old), "bytes_after": sum(now)}
+
+    @staticmethod
+    def _older(path: str, base: str | None) -> bool:
+        return base is not None and path.rpartition("/")[2].split("-")[1] < base.split("-")[1]
+
+    def _files(self, folders: list[str]) -> list[int]:
+        store = Storage(self.spark)
+        return [x.size for f in folders for x in store.list(f, recursive=True) if x.path.endswith(".parquet")]
 
 
 class KvDatabase:

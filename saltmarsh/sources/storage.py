@@ -52,7 +52,7 @@ class Storage:
 
     def create(self, path: str, text: str) -> None:
         """Makes a whole file under a name that must be free: written beside it, then renamed without overwriting."""
-        temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+        temporary = f"{path}.{uuid.uuid4().hex}.tmp"  # the folder is made where there is none
         self._write(temporary, text)
         try:
             self.rename(temporary, path)

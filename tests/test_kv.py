@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from saltmarsh.errors import InvalidArgument, KeyNotFound, TableExists, TableNotFound
 from saltmarsh.operators import kv
 from saltmarsh.sources.kv import KvDatabase
+from saltmarsh.sources.storage import Storage
 
 USER = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType())])
 
@@ -81,9 +82,85 @@ def test_limits(spark, db):
             t.put(bad, value="v")
     t.put("k" * 4096, value="v")
     assert t.scan().count() == 1
-    df = spark.createDataFrame([("k", "")], "key string, value string")
+    for bad in ("", "v" * (4 << 20) + "v", None):
+        with pytest.raises(Exception, match="value must have 1 to 4194304 bytes"):
+            t.put("k", value=bad)
+    t.put("k", value="v" * (4 << 20))
+    t.delete("k")
+    assert t.scan().count() == 1
+    u = db.create_table("u", USER)
+    u.put("k", id=None, name=None)
     with pytest.raises(Exception, match="value must have"):
-        kv.check_limits(df, value="value").collect()
+        u.put("k", id=1, name="n" * (4 << 20))
+    assert u.get("k") == {"id": None, "name": None}
+
+
+def test_compaction_keeps_what_is_appended_meanwhile(spark, db, monkeypatch):
+    t = db.create_text_table("t")
+    t.put("a", value="1")
+    t.put("b", value="2")
+    whole = kv.compacted
+
+    def slow(*logs, **more):
+        t.put("c", value="3")
+        return whole(*logs, **more)
+
+    monkeypatch.setattr(kv, "compacted", slow)
+    t.compact()
+    assert keys(t.scan()) == ["a", "b", "c"]
+    monkeypatch.undo()
+    assert t.compact()["files_before"] >= 2 and keys(t.scan()) == ["a", "b", "c"]
+    t.put("a", value="4")
+    old = t.log()
+    t.compact()
+    assert old.count() == 4, "the files that a compaction replaces stay for those who read them"
+    t.compact()
+    assert t.get("a") == {"value": "4"} and t.log().count() == 4 and len(t._appended()) == 0
+
+
+def test_compaction_that_fails_loses_nothing(spark, db, monkeypatch):
+    t = db.create_text_table("t")
+    t.put_batch([("a", {"value": "1"}), ("b", {"value": "2"})])
+    store = Storage
+
+    def refused(self, path, text):
+        raise OSError("lost")
+
+    monkeypatch.setattr(store, "create", refused)
+    with pytest.raises(OSError, match="lost"):
+        t.compact()
+    monkeypatch.undo()
+    assert keys(t.scan()) == ["a", "b"]
+    taken = store.create
+
+    def late(self, path, text):
+        taken(self, path, text)
+        raise OSError("died after it was published")
+
+    monkeypatch.setattr(store, "create", late)
+    with pytest.raises(OSError, match="published"):
+        t.compact()
+    monkeypatch.undo()
+    assert keys(t.scan()) == ["a", "b"] and t.log().count() == 2
+    t.compact()
+    assert keys(t.scan()) == ["a", "b"] and t.log().count() == 2
+
+
+def test_an_append_that_fails_is_not_read(spark, db):
+    t = db.create_text_table("t")
+    t.put("a", value="1")
+    df = spark.range(100).selectExpr("cast(id as string) key", "id version", "false deleted", "if(id = 99, '', 'v') value")
+    with pytest.raises(Exception, match="value must have"):
+        t.append(df.repartition(4))
+    assert keys(t.scan()) == ["a"]
+
+
+def test_equal_versions_have_one_defined_row(spark):
+    rows = [("k", 1, False, v) for v in "abcdefgh"]
+    ddl = "key string, version bigint, deleted boolean, value string"
+    found = {kv.snapshot(spark.createDataFrame(r, ddl).repartition(3)).first().value for r in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(found) == 1
+    assert kv.snapshot(spark.createDataFrame(rows + rows, ddl), all_versions=True).count() == 1
 
 
 @settings(max_examples=10, deadline=None)
