@@ -28,7 +28,7 @@ def _bare(name: str) -> str:
 
 def split_statements(text: str) -> list[str]:
     """Statements between semicolons that are in no quotes."""
-    found = re.findall(r"""(?:'(?:[^']|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|[^;'"`-]|-)+""", text)
+    found = re.findall(r"""(?:'(?:[^'\\]|\\.|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|[^;'"`-]|-)+""", text)
     return [x.strip() for x in found if x.strip()]
 
 

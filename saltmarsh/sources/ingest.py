@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saltmarsh.errors import NotNullViolation, SaltmarshError, SchemaMismatch
 from saltmarsh.functions.transforms import transform
 from saltmarsh.functions.types import check_schema
-from saltmarsh.sources.catalog import Catalog, DataFile, TableMetadata
+from saltmarsh.sources.catalog import Catalog, Manifest, TableMetadata
 
-NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+#: Characters of a bound that is kept.
+LONGEST_BOUND = 256
 _NOT_NULL = "NULL in the NOT NULL column "
 
 
@@ -27,16 +28,25 @@ def enforced(df: DataFrame, table: TableMetadata) -> DataFrame:
     return df.select(*out)
 
 
+def statistics_columns(table: TableMetadata) -> list[str]:
+    """Columns whose bounds are kept for each file: those that the table's property ``statistics`` names (separated by
+    commas), and the sources of its partition spec. Types whose texts depend on the session have none."""
+    names = [x.strip() for x in table.properties.get("statistics", "").split(",")] + [f.source for f in table.spec]
+    bounded = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType)
+    return [f.name for f in table.schema if f.name in names and isinstance(f.dataType, bounded)]
+
+
 class Ingestor:
     """Appends frames to a table. With ``commit=False`` files wait for commit(), which publishes all in one snapshot."""
 
     def __init__(self, catalog: Catalog, name: str) -> None:
         self.catalog, self.name = catalog, name
-        self.pending: list[DataFile] = []
+        self.pending: list[Manifest] = []
 
-    def append(self, df: DataFrame, commit: bool = True) -> list[DataFile]:
-        """Rows are checked against the schema, divided by the latest partition spec and written, each partition's rows by
-        as few tasks as hold them. NULL partition values go to the default partition."""
+    def write(self, df: DataFrame) -> Manifest:
+        """Writes data files that no snapshot names yet. Rows are checked against the schema and divided by the latest
+        partition spec; each partition's rows are written by as few tasks as hold them, a large one's by several (AQE
+        splits the shuffle by size). NULL partition values go to the default partition."""
         table = self.catalog.load_table(self.name)
         check_schema(df.schema, table.schema)
         rows = enforced(df, table)
@@ -46,7 +56,7 @@ class Ingestor:
                 raise SchemaMismatch(f"partition column {f.column} is a column of the table")
             rows = rows.withColumn(f.column, transform(f, table.schema[f.source].dataType))
         folder = f"{table.location}/data/{uuid.uuid4().hex}"
-        writer = rows.repartition(*(F.col(f"`{k}`") for k in keys)).write.partitionBy(*keys) if keys else rows.write
+        writer = rows.hint("rebalance", *keys).write.partitionBy(*keys) if keys else rows.write
         try:
             writer.parquet(folder)
         except PySparkException as e:
@@ -54,36 +64,55 @@ class Ingestor:
             if _NOT_NULL in str(e):
                 raise NotNullViolation(str(e).split(_NOT_NULL)[1].split()[0].strip("'\".")) from None
             raise
-        files = self._written(folder)
-        self.pending += files
+        return self.catalog.manifest(self.name, self._written(folder, table))
+
+    def append(self, df: DataFrame, commit: bool = True, expected: int | None = None, once: tuple[str, int] | None = None) -> Manifest:
+        """``expected`` and ``once`` are those of the catalog's create_snapshot()."""
+        new = self.write(df)
+        self.pending.append(new)
         if commit:
-            self.commit()
-        return files
+            self.commit(expected, once)
+        return new
 
-    def append_all(self, *frames: DataFrame, commit: bool = True) -> list[DataFile]:
+    def append_all(self, *frames: DataFrame, commit: bool = True) -> list[Manifest]:
         """Several batches in one snapshot."""
-        files = [f for df in frames for f in self.append(df, commit=False)]
+        new = [self.append(df, commit=False) for df in frames]
         if commit:
             self.commit()
-        return files
-
-    def _written(self, folder: str) -> list[DataFile]:
-        sizes = {x.path: x.size for x in self.catalog.storage.list(folder, recursive=True) if x.path.endswith(".parquet")}
-        if not sizes:
-            return []
-        counts = self.catalog.spark.read.parquet(*sizes).groupBy(F.col("_metadata.file_path").alias("path")).count()
-        found = {self.catalog.storage.qualified(r.path): r["count"] for r in counts.collect()}  # a row for each new file
-        out = []
-        for path, size in sizes.items():
-            values = dict(p.split("=", 1) for p in path.removeprefix(folder).split("/") if "=" in p)
-            out.append(DataFile(path, found.get(path, 0), size, {k: None if v == NULL_PARTITION else unquote(v) for k, v in values.items()}))
-        return [f for f in out if f.record_count]
-
-    def commit(self) -> TableMetadata:
-        """Publishes what is pending."""
-        files, self.pending = self.pending, []
+        return new
+
+    def overwrite(self, df: DataFrame, removed: Column | None = None, expected: int | None = None) -> TableMetadata:
+        """Puts the rows in place of the table's, or of the files that the condition ``removed`` chooses, in one snapshot."""
+        return self.catalog.create_snapshot(self.name, [self.write(df)], "overwrite", expected, () if removed is None else removed)
+
+    def _written(self, folder: str, table: TableMetadata) -> DataFrame:
+        """The files of a folder, with their counts, partition values and bounds; only the bounded columns are read."""
+        kept = statistics_columns(table)
+        schema = T.StructType([*table.schema, *(T.StructField(f.column, T.StringType()) for f in table.spec)])
+        rows = self.catalog.spark.read.schema(schema).parquet(folder)
+        # The path is percent-encoded; a plus stands for itself.
+        path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+        pairs = [x for f in table.spec for x in (F.lit(f.column), F.first(F.col(f"`{f.column}`")))]
+        values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+        def bounds(of) -> Column:
+            found = []
+            for c in kept:
+                text = of(F.col(f"`{c}`")).cast("string")
+                found += [F.lit(c), F.when(F.length(text) <= LONGEST_BOUND, text)]
+            return F.create_map(*found) if found else F.create_map().cast("map<string,string>")
+
+        out = rows.groupBy(path.alias("path")).agg(
+            F.lit("parquet").alias("format"), values.alias("partition_values"), F.count("*").alias("record_count"),
+            F.max("_metadata.file_size").alias("file_size"), bounds(F.min).alias("lower"), bounds(F.max).alias("upper"),
+        )
+        return out.where("record_count > 0")
+
+    def commit(self, expected: int | None = None, once: tuple[str, int] | None = None) -> TableMetadata:
+        """Publishes what is pending. With ``expected`` only if the table is still at that snapshot."""
+        new, self.pending = self.pending, []
         try:
-            return self.catalog.create_snapshot(self.name, files)
+            return self.catalog.create_snapshot(self.name, new, expected=expected, once=once)
         except SaltmarshError:
-            self.pending = files
+            self.pending = new
             raise

@@ -11,16 +11,13 @@ from saltmarsh.sources.kv import KvTable
 
 
 def to_table(stream: DataFrame, catalog: Catalog, name: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Appends a stream to a catalog table. A batch that was committed before a failure isn't committed again: its number
-    is kept in the table's properties."""
-    mark = f"stream.{checkpoint}"
+    """Appends a stream to a catalog table, each batch exactly once: its number is set in the table's properties by the same
+    version that adds its snapshot, and a batch whose number is there already adds nothing."""
+    mark = f"stream.{catalog.storage.qualified(checkpoint)}"
 
     def batch(df: DataFrame, number: int) -> None:
-        table = catalog.load_table(name)
-        if int(table.properties.get(mark, -1)) >= number:
-            return
-        Ingestor(catalog, name).append(df)
-        catalog.update_properties(name, {mark: str(number)})
+        if int(catalog.load_table(name).properties.get(mark, -1)) < number:
+            Ingestor(catalog, name).append(df, once=(mark, number))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -87,10 +87,15 @@ def test_deferred_commit_and_conflict(spark, catalog):
         catalog.commit(base, properties={})
     with pytest.raises(CommitConflict):
         catalog.create_snapshot("t", [DataFile("p", 1, 1)], expected=0)
-    with pytest.raises(Unsupported):
-        catalog.create_snapshot("t", operation="overwrite")
+    with pytest.raises(InvalidArgument):
+        catalog.create_snapshot("t", operation="rewrite")
     path = catalog.list_data_files("t")[0].path
-    catalog.create_snapshot("t", removed=[path])
+    with pytest.raises(InvalidArgument):
+        catalog.create_snapshot("t", removed=[path])
+    with pytest.raises(CommitConflict):
+        into.append(frame(spark, (9, "z", 1.0)), expected=0)
+    into.pending.clear()
+    catalog.create_snapshot("t", operation="delete", removed=[path])
     assert catalog.table("t").count() == 1 and catalog.load_table("t").snapshot().summary["deleted-files"] == 1
 
 
@@ -149,3 +154,129 @@ def test_sql_and_json(spark, catalog):
         engine.query("DELETE FROM test_table")
     with pytest.raises(TableNotFound):
         engine.ingest_json("none", "[]")
+
+
+def ids(df):
+    return sorted(r.id for r in df.collect())
+
+
+def test_overwrite_delete_and_replace(spark, catalog):
+    catalog.create_table("t", SCHEMA, [PartitionField("name", "identity")])
+    into = Ingestor(catalog, "t")
+    into.append(frame(spark, (1, "a", 1.0), (2, "b", 2.0), (3, None, 3.0)))
+    into.overwrite(frame(spark, (4, "b", 4.0)), F.col("partition_values")["name_identity"] == "b")
+    assert ids(catalog.table("t")) == [1, 3, 4]
+    with pytest.raises(InvalidArgument):
+        catalog.create_snapshot("t", [into.write(frame(spark, (7, "a", 1.0), (8, "a", 1.0)))], "replace", removed=F.expr("partition_values['name_identity'] = 'a'"))
+    catalog.create_snapshot("t", [into.write(frame(spark, (7, "a", 1.0)))], "replace", removed=F.expr("partition_values['name_identity'] = 'a'"))
+    assert ids(catalog.table("t")) == [3, 4, 7]
+    catalog.create_snapshot("t", operation="delete", removed=F.expr("partition_values['name_identity'] IS NULL"))
+    into.append(frame(spark, (5, "c", 5.0)))
+    assert ids(catalog.table("t")) == [4, 5, 7] and ids(catalog.table("t", snapshot_id=1)) == [1, 2, 3]
+    assert catalog.load_table("t").snapshot().summary["total-records"] == 3 == catalog.totals("t").first().records
+    into.overwrite(frame(spark))
+    assert ids(catalog.table("t")) == [] and catalog.describe("t")["records"] == 0
+    described = catalog.describe("t", 1)
+    assert described["columns"][0] == ("id", "int", False) and described["records"] == 3 and described["partition_spec"][0]["column"] == "name_identity"
+
+
+def test_statements_that_change_tables(spark, catalog):
+    engine = Engine(catalog)
+    engine.execute("CREATE TABLE t (id INT NOT NULL, name VARCHAR(9))")
+    engine.execute("INSERT INTO t VALUES (1, 'a'), (2, 'b'), (3, NULL)")
+    engine.execute("INSERT INTO t SELECT id + 10, name FROM t WHERE id < 3")
+    engine.execute("DELETE FROM t WHERE name = 'b'")
+    assert ids(catalog.table("t")) == [1, 3, 11]
+    assert ids(engine.query("SELECT id FROM t VERSION AS OF 1 UNION ALL SELECT id + 100 FROM t")) == [1, 2, 3, 101, 103, 111]
+    engine.execute("INSERT OVERWRITE t SELECT 7, 'x'")
+    assert ids(catalog.table("t")) == [7]
+    engine.execute("DELETE FROM t")
+    assert ids(catalog.table("t")) == []
+    with pytest.raises(SchemaMismatch):
+        engine.execute("INSERT INTO t SELECT 1")
+    engine.execute("DROP TABLE t")
+    engine.execute("DROP TABLE IF EXISTS t")
+    assert catalog.list_tables() == []
+
+
+def test_views_of_the_caller_stay_and_names_may_have_blanks(spark, catalog):
+    catalog.create_table("my table", SCHEMA)
+    catalog.create_table("seen", SCHEMA)
+    Ingestor(catalog, "my table").append(frame(spark, (1, "a", 1.0)))
+    spark.range(5).createOrReplaceTempView("seen")
+    engine = Engine(catalog)
+    assert engine.query("SELECT COUNT(*) AS n FROM `my table`").first().n == 1
+    assert engine.query("SELECT COUNT(*) AS n FROM seen").first().n == 0
+    assert spark.table("seen").count() == 5 and not any("my table" in t.name for t in spark.catalog.listTables())
+    spark.catalog.dropTempView("seen")
+
+
+def opened(df):
+    return len(df.inputFiles())
+
+
+@pytest.fixture(scope="module")
+def divided(spark, tmp_path_factory):
+    """A table of 16 files or so: years by a time, buckets of an integer, texts by their start."""
+    catalog = Catalog(spark, str(tmp_path_factory.mktemp("lake")))
+    rows = spark.range(400).selectExpr("cast(id as int) id", "timestamp_ntz'2000-01-01 00:00:00' + make_dt_interval(cast(id * 4 as int)) at", "concat(chr(97 + id % 3), cast(id as string)) name")
+    spec = [PartitionField("at", "year"), PartitionField("id", "bucket", 2), PartitionField("name", "truncate", 1)]
+    catalog.create_table("t", rows.schema, spec)
+    Ingestor(catalog, "t").append(rows)
+    rows.createOrReplaceTempView("plain")
+    return catalog
+
+
+@pytest.mark.parametrize(
+    "where, share",
+    [
+        ("at >= timestamp_ntz'2001-01-01 00:00:00' AND at < timestamp_ntz'2002-01-01 00:00:00'", 5), ("year(at) = 2002", 5), ("year(at) > 2002 AND id % 7 = 1", 2.4),
+        ("id = 7", 9), ("id IN (3, 5)", 9), ("id < 20", 5), ("timestamp_ntz'2004-01-05 00:00:00' <= at", 5), ("name = 'b4'", 3), ("name >= 'c'", 3), ("name IS NULL OR id = 3", 1),
+        ("id = 3 OR at > timestamp_ntz'2004-03-01 00:00:00'", 3), ("id = -1", 1000), ("NOT (id = 3)", 1), ("id + 1 = 4", 1), ("name LIKE 'b%'", 1), ("id >= 300 AND name = 'nothing'", 1000),
+    ],
+)
+def test_files_are_pruned_and_no_row_is_lost(spark, divided, where, share):
+    engine, every = Engine(divided), len(divided.list_data_files("t"))
+    found = engine.query(f"SELECT * FROM t WHERE {where}")
+    assert opened(found) <= every / share
+    assert sorted(map(str, found.collect())) == sorted(map(str, spark.sql(f"SELECT * FROM plain WHERE {where}").collect()))
+
+
+def test_pruning_takes_every_use_of_a_table(spark, divided):
+    engine, every = Engine(divided), len(divided.list_data_files("t"))
+    for text, most in (
+        ("SELECT COUNT(*) AS n FROM {0} a JOIN {0} b ON a.id = b.id + 1 WHERE year(a.at) = 2001 AND year(b.at) = 2001", every / 4),
+        ("SELECT COUNT(*) AS n FROM {0} WHERE id = 3 AND id < (SELECT MAX(id) FROM {0})", every),
+        ("SELECT COUNT(*) AS n FROM {0} a LEFT JOIN (SELECT * FROM {0} WHERE id < 5) b ON a.id = b.id", every),
+        ("WITH x AS (SELECT * FROM {0} WHERE year(at) = 2003) SELECT COUNT(*) AS n FROM x", every / 4),
+    ):
+        found = engine.query(text.format("t"))
+        assert found.first().n == spark.sql(text.format("plain")).first().n and opened(found) <= most
+
+
+def test_odd_partition_values(spark, catalog):
+    catalog.create_table("t", SCHEMA, [PartitionField("name", "identity")])
+    names = ["a b", "x=y", "1/2", "50%", "a+b", "é:ü", "%20", "it's", "a\\b", None]
+    Ingestor(catalog, "t").append(frame(spark, *((i, n, 0.5) for i, n in enumerate(names))))
+    files = catalog.list_data_files("t")
+    assert sorted(map(str, (f.partition_values["name_identity"] for f in files))) == sorted(map(str, names))
+    assert ids(catalog.table("t")) == list(range(len(names))) and all(f.record_count == 1 for f in files)
+    for i, n in enumerate(names[:-1]):
+        quoted = n.replace("\\", "\\\\").replace("'", "\\'")
+        found = Engine(catalog).query(f"SELECT id FROM t WHERE name = '{quoted}'")
+        assert ids(found) == [i] and opened(found) == 1
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, catalog):
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("text", T.StringType())])
+    catalog.create_table("t", schema, [PartitionField("k", "identity")])
+    rows = spark.range(0, 40_000, 1, 8).selectExpr("1 k", "sha2(cast(id as string), 512) text")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        Ingestor(catalog, "t").append(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = catalog.list_data_files("t")
+    assert len(files) >= 4 and sum(f.record_count for f in files) == 40_000
+    assert [f.lower["k"] for f in files] == ["1"] * len(files)
