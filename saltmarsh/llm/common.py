@@ -6,12 +6,16 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Arrow batches are cut at this many bytes of input, so that very long texts can't gather in one batch.
 BATCH_BYTES = 16 << 20
@@ -80,6 +84,71 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class ByRow:
+    """A table (row, value) for row numbers made by monotonically_increasing_id(), which hold the number of the task that
+    wrote a row in their upper bits: sorted files in the shared folder, of which a worker reads the part of the rows it
+    has before it. So a column is added to rows, or rows are chosen, without a shuffle of the rows themselves."""
+
+    def __init__(self, rows: DataFrame, tag: str) -> None:
+        path = new_path(rows.sparkSession, tag)
+        rows.select("row", "value").repartitionByRange("row").sortWithinPartitions("row").write.parquet(path)
+        files = rows.sparkSession.read.schema("row bigint, value bigint").parquet(path).groupBy(F.col("_metadata.file_path").alias("uri"))
+        found = files.agg(F.min("row").alias("low"), F.max("row").alias("high")).orderBy("low").collect()  # a row for each file
+        self.files = [(r.uri, r.low, r.high) for r in found]
+        self.part, self.rows, self.values = -1, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _load(self, part: int) -> None:
+        low, high = part << 33, (part + 1) << 33
+        tables = []
+        for uri, first, last in self.files:
+            if first < high and last >= low:
+                own, path = fs.FileSystem.from_uri(uri)
+                tables.append(pq.read_table(path, filesystem=own, filters=[("row", ">=", low), ("row", "<", high)]))
+        table = pa.concat_tables(tables) if tables else None
+        self.part = part
+        self.rows = table.column("row").to_numpy() if tables else np.zeros(0, np.int64)
+        self.values = table.column("value").to_numpy() if tables else np.zeros(0, np.int64)
+
+    def find(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are in the table, and their values (0 for others)."""
+        hit, value = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+        for part in np.unique(rows >> 33).tolist():
+            if part != self.part:
+                self._load(part)
+            if len(self.rows):
+                own = np.flatnonzero(rows >> 33 == part)
+                at = np.minimum(np.searchsorted(self.rows, rows[own]), len(self.rows) - 1)
+                hit[own] = self.rows[at] == rows[own]
+                value[own] = np.where(hit[own], self.values[at], 0)
+        return hit, value
+
+
+def chosen(rows: DataFrame, row: str, keep: DataFrame, tag: str) -> DataFrame:
+    """The ``rows`` (a written table) whose number in column ``row`` is among those of ``keep`` (a column ``row``)."""
+    table = ByRow(keep.select("row", F.lit(0).cast("bigint").alias("value")), tag)
+    at = rows.columns.index(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit, _ = table.find(b.column(at).to_numpy())
+            yield b.filter(pa.array(hit))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """``wanted``, with underscores before it until no column is called so."""
+    names = {x.lower() for x in taken}
+    while wanted.lower() in names:
+        wanted = "_" + wanted
+    return wanted
+
+
+def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
+    """A schema with further fields at its end, for mapInArrow."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in (*schema, *T.StructType.fromDDL(ddl))])
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into slices of at most ``rows`` rows and about ``most`` bytes (a single row may be larger)."""
     for batch in batches:

@@ -1,8 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: an exact set join by prefixes, connected components."""
+"""Sets of word shingles, which near-duplicate texts are compared by, and the pairs of texts that share rare ones."""
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from itertools import accumulate, repeat
@@ -13,16 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from saltmarsh.llm.common import components, pieces, shared_dir, written
+from saltmarsh.llm.common import pieces
 
 #: Texts that common shingles are counted on: one in SHARE, or all where that gives fewer than SAMPLE.
 SAMPLE, SHARE = 20_000, 8
 #: Common shingles that are known to the workers at most, and the texts of the sample that make a shingle common.
 COMMON, OFTEN = 1 << 18, 3
-#: Buckets of a set's histogram.
-BUCKETS = 256
 #: Pairs that are held before they are sent on.
-HELD = 1 << 18
+HELD = 1 << 20
+#: Texts that may share a key; those of a more common shingle are divided.
+BLOCK = 1 << 20
 #: Allowance for rounding in comparisons of whole numbers with multiples of the similarity.
 EPS = 1e-9
 
@@ -33,7 +32,10 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     """The sorted hashes of a text's distinct word shingles; of one shorter than a shingle, that of all its words."""
-    tokens = tokens_of(text)
+    return shingles_of(tokens_of(text), words, seed)
+
+
+def shingles_of(tokens: list[bytes], words: int = 5, seed: int = 42) -> np.ndarray:
     if not tokens:
         return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
@@ -44,11 +46,6 @@ def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, own, repeat(seed)), np.uint64, len(ends)))
 
 
-def histogram(own: np.ndarray) -> np.ndarray:
-    """Shingles in each bucket, 255 at most. Two sets differ in at least as many shingles as their histograms do."""
-    return np.minimum(np.bincount((own & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
-
-
 def prefix(own: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set, by rarity and then hash: two sets of at least this similarity share one of them,
     whatever the order is, if it is the same for all sets."""
@@ -58,71 +55,96 @@ def prefix(own: np.ndarray, similarity: float, common: np.ndarray, counts: np.nd
     return own[: len(own) - math.ceil(similarity * len(own) - EPS) + 1]
 
 
-def _mapped(texts: DataFrame, ddl: str, rows) -> DataFrame:
-    """``rows`` makes the columns of a batch's result from its ids and texts."""
-    names = [x.split()[0] for x in ddl.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays(rows(batch.column(0).to_numpy(), batch.column(1).to_pylist()), names)
-
-    return texts.mapInArrow(run, ddl)
-
-
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that many texts hold, and in how many of the sample they are."""
+def common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that many texts of a table (row, text) hold, and about how many hold them. They only
+    set the order in which a set's shingles are taken, in which any order is right."""
     step = max(1, min(SHARE, texts.count() // SAMPLE))
-    some = texts.where(F.pmod(F.xxhash64("cid"), F.lit(step)) == 0)
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text")
 
-    def rows(ids: np.ndarray, own: list[str]) -> list[pa.Array]:
-        return [pa.array(np.concatenate([np.zeros(0, np.int64), *(shingles(x, words).view(np.int64) for x in own)]))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            own = [shingles(x, words).view(np.int64) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["h"])
 
-    often = _mapped(some, "h bigint", rows).groupBy("h").count().where(F.col("count") >= OFTEN)
+    often = some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= OFTEN)
     top = often.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    h, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    h, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy() * step
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def _meeting(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs whose prefixes meet and whose sizes and places don't rule them out."""
-    common, counts = _common(texts, words)
-
-    def postings(ids: np.ndarray, own: list[str]) -> list[pa.Array]:
-        firsts, sizes = [], []
-        for x in own:
-            s = shingles(x, words)
-            sizes.append(len(s))
-            firsts.append(prefix(s, similarity, common, counts).view(np.int64) if len(s) else np.zeros(0, np.int64))
-        lengths = np.array([len(x) for x in firsts], np.int64)
-        keys = np.concatenate([np.zeros(0, np.int64), *firsts])
-        starts = np.cumsum(lengths) - lengths
-        place = np.arange(len(keys)) - np.repeat(starts, lengths)
-        before = np.where(place > 0, np.concatenate([[0], keys[:-1]]) if len(keys) else keys, 0)
-        return [pa.array(keys), pa.array(before), pa.array(np.repeat(ids, lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(place.astype(np.int32))]
+POSTINGS = "key bigint, row bigint, class bigint, size_place bigint, before int"
+
+
+def postings(rows: np.ndarray, classes: np.ndarray, texts: list[str], words: int, similarity: float, often: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each shingle of the texts' prefixes: its hash, the text's row number and class, the set's size (upper
+    half) and the shingle's place, and the lower half of the shingle before it. A shingle that more than BLOCK texts may
+    hold has a key for each two parts of them."""
+    keys, owner, sizes, places, before = ([] for _ in range(5))
+    for i, x in enumerate(texts):
+        s = shingles(x, words)
+        if not len(s):
+            continue
+        own = prefix(s, similarity, often, counts)
+        place, last = np.arange(len(own)), np.concatenate([own[:1], own[:-1]])
+        if len(often):
+            at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+            parts = np.where(often[at] == own, -(-counts[at] // BLOCK), 1)
+            if (parts > 1).any():
+                mine = xxh64_intdigest(int(rows[i]).to_bytes(8, "little", signed=True)) % parts.astype(np.uint64)
+                wide = np.repeat(np.arange(len(own)), parts)
+                other = np.arange(len(wide)) - np.repeat(np.cumsum(parts) - parts, parts)
+                low, high = np.minimum(mine[wide], other.astype(np.uint64)), np.maximum(mine[wide], other.astype(np.uint64))
+                split = (low * np.uint64(1 << 20) + high) * np.uint64(0x9E3779B97F4A7C15)
+                own, place, last = own[wide] ^ np.where(parts[wide] > 1, split, np.uint64(0)), place[wide], last[wide]
+        keys.append(own.view(np.int64))
+        owner.append(np.full(len(own), i))
+        sizes.append(np.full(len(own), len(s), np.int64))
+        places.append(place)
+        before.append(last)
+    join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+    at = join(owner, np.int64)
+    packed = join(sizes, np.int64) << 32 | join(places, np.int64)
+    columns = [join(keys, np.int64), rows[at], classes[at], packed, join(before, np.uint64).astype(np.uint32).view(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "row", "class", "size_place", "before"])
+
+
+def meeting(found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs of rows of different classes whose prefixes meet and whose sizes and places don't rule them
+    out. Pairs are formed only between classes, so a large group that is one class already sends none."""
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, before, cid, n, place = (t.column(c).to_numpy() for c in ("h", "before", "cid", "n", "place"))
-        left, right, held = [], [], 0
-        i, d = np.arange(len(key)), 0
-        while len(i):
-            d += 1
-            i = i[i + d < len(key)]
-            i = i[key[i] == key[i + d]]
-            j = i + d
+        key, row, group, packed, before = (t.column(c).to_numpy() for c in ("key", "row", "class", "size_place", "before"))
+        size, place = packed >> 32, packed & 0xFFFFFFFF
+        step = np.flatnonzero((key[1:] != key[:-1]) | (group[1:] != group[:-1])) + 1
+        runs = np.searchsorted(step, np.arange(len(key)), side="right")
+        bounds = np.append(step, len(key))
+        first = bounds[runs]  # where the next class, or the next key, begins
+        change = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        last = change[np.searchsorted(change, np.arange(len(key)), side="right")]
+        many = last - first
+        done = np.concatenate([[0], np.cumsum(many)])
+        at, held = 0, []
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(done, done[at] + HELD, side="right")) - 1)
+            n = many[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]
+            at = to
             # Sets whose shingles before this one are the same have met there.
             good = (before[i] != before[j]) | (place[i] == 0) | (place[j] == 0)
-            good &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - EPS
-            most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
-            good &= most >= similarity / (1 + similarity) * (n[i] + n[j]) - EPS
-            left.append(cid[i[good]])
-            right.append(cid[j[good]])
-            held += int(good.sum())
-            if held >= HELD or not len(i):
-                a, b = np.concatenate(left), np.concatenate(right)
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-                left, right, held = [], [], 0
+            good &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - EPS
+            most = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j])
+            good &= most >= similarity / (1 + similarity) * (size[i] + size[j]) - EPS
+            a, b = row[i[good]], row[j[good]]
+            held.append((np.minimum(a, b), np.maximum(a, b)))
+            if sum(len(x) for x, _ in held) >= HELD or at >= len(key):
+                a, b = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+                held = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -142,75 +164,5 @@ def _meeting(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    sorted_ = _mapped(texts, "h bigint, before bigint, cid bigint, n int, place int", postings).repartition("h").sortWithinPartitions("h")
+    sorted_ = found.repartition("key").sortWithinPartitions("key", "class")
     return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): all pairs of a written table (cid, text) whose sets of word shingles have at least this Jaccard similarity.
-
-    Exact but for collisions of 64-bit hashes: no pair is chosen by chance. Two such sets share one of the first
-    n - ceil(similarity * n) + 1 of their n shingles in any order common to all sets; rare ones come first, so few
-    others meet. Pairs that meet are tried by the sets' histograms, which bound their difference from below, and
-    what is left by the sets themselves.
-    """
-    met = written(_meeting(texts, words, similarity), "shingle-pairs")
-    whole = "cid bigint, {0} binary, n int"
-
-    def of(pairs: DataFrame, name: str, made) -> DataFrame:
-        """``pairs`` with what is made of the set of each, and its size."""
-
-        def rows(ids: np.ndarray, own: list[str]) -> list[pa.Array]:
-            sets = [shingles(x, words) for x in own]
-            return [pa.array(ids), pa.array([made(s).tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
-
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        of_text = written(_mapped(texts.join(ids, "cid", "left_semi"), whole.format(name), rows), f"shingle-{name}")
-        for side in ("a", "b"):
-            pairs = pairs.join(of_text.toDF(side, f"{name}_{side}", f"n_{side}"), side)
-        return pairs.select("a", "b", f"{name}_a", f"{name}_b", "n_a", "n_b")
-
-    def tried(pairs: DataFrame, good) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, y, n, m = (b.column(i).to_pylist() for i in range(2, 6))
-                keep = pa.array([good(*z) for z in zip(x, y, n, m)], pa.bool_())
-                yield b.select(["a", "b"]).filter(keep)
-
-        return pairs.mapInArrow(run, "a bigint, b bigint")
-
-    def possible(x: bytes, y: bytes, n: int, m: int) -> bool:
-        differ = np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum()
-        return bool(differ <= (1 - similarity) / (1 + similarity) * (n + m) + EPS)
-
-    def alike(x: bytes, y: bytes, n: int, m: int) -> bool:
-        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-        return both >= similarity * (n + m - both) - EPS
-
-    left = written(tried(of(met, "histogram", histogram), possible), "shingle-possible")
-    return tried(of(left, "hashes", lambda s: s), alike)
-
-
-def one_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one of each component of linked texts does: that of the least id (ids that
-    are null come last; of equal ids any one). Texts of the same words are one; null and blank ones are too.
-    Columns stay as they are."""
-    shared_dir(docs.sparkSession)
-    same, row = "__saltmarsh_same", "__saltmarsh_row"
-    at, names = docs.columns.index(text_col), [*docs.columns, same]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            found = [hashlib.blake2b(b" ".join(tokens_of(x)), digest_size=16).digest() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names)
-
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    own = written(docs.mapInArrow(run, f"{ddl}`{same}` binary").withColumn(row, F.monotonically_increasing_id()), "shingle-rows")
-    number = F.col(id_col).cast("bigint")
-    first = F.min(F.struct(number.isNull().alias("no_id"), number.alias("doc_id"), F.col(row).alias("cid"))).alias("first")
-    firsts = written(own.groupBy(same).agg(first).select("first"), "shingle-firsts").select("first", F.col("first.cid").alias("cid"))
-    texts = own.select(F.col(row).alias("cid"), F.col(text_col).alias("text")).join(firsts.select("cid"), "cid", "left_semi")
-    groups = components(links(texts, words, similarity))
-    named = firsts.join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    keep = named.groupBy("component").agg(F.min("first")["cid"].alias(row))
-    return own.join(keep.select(row), row, "left_semi").drop(row, same)

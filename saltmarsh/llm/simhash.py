@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from saltmarsh.llm.common import components, dropped, pieces, shared_dir, written
+from saltmarsh.llm.common import ByRow, chosen, components, free_name, pieces, shared_dir, with_fields, written
+from saltmarsh.llm.shingles import POSTINGS, common, meeting, postings, shingles, shingles_of, tokens_of
 
-#: Shingle hashes that are counted at once, so that memory is bounded for texts of any length.
+#: Shingle hashes whose bits are counted at once. The words and their places are lists over the whole text: about 150
+#: bytes a word, so a text of 100 MB takes some 3 GB.
 BLOCK = 1 << 17
+#: Words of 64 bits of a wide fingerprint, and least hashes by which texts are gathered.
+WIDE, STARS = 4, 4
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -51,8 +58,7 @@ def with_fingerprints(docs: DataFrame, name: str, words: int = 3, seed: int = 42
             found = np.array([fingerprint(x.as_py(), words, seed) for x in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found)], [*(batch.schema.names[i] for i in kept), name])
 
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for i, f in enumerate(docs.schema) if i in kept)
-    return docs.mapInArrow(run, f"{ddl}`{name}` bigint")
+    return docs.mapInArrow(run, with_fields(T.StructType([f for i, f in enumerate(docs.schema) if i in kept]), f"`{name}` bigint"))
 
 
 def ring(segments: int = 5) -> list[tuple[int, int]]:
@@ -131,16 +137,171 @@ def classes(own: DataFrame) -> DataFrame:
     return named.join(least, "component").select("fp", "component", "component_id")
 
 
-def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_each(docs: DataFrame, words: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one of each component does: that of the least id (ids that are null come
-    last; of equal ids any one). Columns stay as they are."""
+    last; of equal ids any one). Columns stay as they are, whatever their names; an empty table gives no rows.
+
+    Without ``similarity`` texts are linked by links(): fingerprints within 2 bits. With it, by similar(): those whose sets
+    of word shingles have at least that Jaccard similarity. Texts of the same words are one, null and blank ones too.
+    """
     shared_dir(docs.sparkSession)
-    fp, row = "__saltmarsh_fp", "__saltmarsh_row"
-    own = written(with_fingerprints(docs, fp, text_col=text_col).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
-    narrow = own.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(fp).alias("fp"), row)
-    first = narrow.join(classes(narrow.select("doc_id", "fp")).select("fp", "component"), "fp").groupBy("component")
-    keep = first.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
-    return own.join(keep.select(row), row, "left_semi").drop(row, fp)
+    row = free_name("saltmarsh_row", docs.columns)
+    if similarity is None:
+        fp = free_name("saltmarsh_fp", docs.columns)
+        own = written(with_fingerprints(docs, fp, words, text_col=text_col).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+        narrow = own.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+        groups = narrow.join(classes(narrow.select("doc_id", "fp")).select("fp", "component"), "fp").groupBy("component")
+        keep = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+        return chosen(own, row, keep, "simhash-keep").drop(row, fp)
+    print_ = free_name("saltmarsh_print", docs.columns)
+    own = written(_with_prints(docs, print_, words, text_col).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    number, p = F.col(id_col).cast("bigint"), F.col(print_)
+    first = F.min(F.struct(number.isNull().alias("no_id"), number.alias("doc_id"), F.col(row).alias("row"), p["prints"].alias("prints"), p["size"].alias("size"), p["least"].alias("least")))
+    texts = written(own.groupBy(p["same"].alias("same")).agg(first.alias("first")).select("first.*"), "simhash-texts")
+    narrow = own.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    groups = similar(narrow, texts, words, similarity).withColumnRenamed("id", "row")
+    named = texts.select("no_id", "doc_id", "row").join(groups, "row", "left")
+    keep = named.groupBy(F.coalesce("component", "row")).agg(F.min(F.struct("no_id", "doc_id", "row"))["row"].alias("row"))
+    return chosen(own, row, keep, "simhash-keep").drop(row, print_)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """The SimHash of a set of 64-bit hashes in WIDE words of 64 bits; the further words are of mixed hashes."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), BLOCK // WIDE):
+        own = hashes[at : at + BLOCK // WIDE]
+        mixed = np.empty((len(own), WIDE), np.uint64)
+        for k in range(WIDE):
+            x = own + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            mixed[:, k] = x ^ x >> np.uint64(31)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8").tolist()
+
+
+PRINT = "same: binary, prints: array<bigint>, size: int, least: array<bigint>"
+
+
+def _with_prints(docs: DataFrame, name: str, words: int, text_col: str) -> DataFrame:
+    """``docs`` with a struct of PRINT: a hash of the text's words, the wide fingerprint of its set of shingles, the set's
+    size, and the STARS least hashes."""
+    at, names = docs.columns.index(text_col), [*docs.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            same, prints, sizes, least = [], [], [], []
+            for x in batch.column(at):
+                tokens = tokens_of(x.as_py())
+                own = shingles_of(tokens, words)
+                same.append(hashlib.blake2b(b" ".join(tokens), digest_size=16).digest())
+                prints.append(wide_fingerprint(own))
+                sizes.append(len(own))
+                least.append(own[:STARS].view(np.int64).tolist())
+            longs = pa.list_(pa.int64())
+            column = pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(prints, longs), pa.array(sizes, pa.int32()), pa.array(least, longs)], ["same", "prints", "size", "least"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names)
+
+    return docs.mapInArrow(run, with_fields(docs.schema, f"`{name}` struct<{PRINT}>"))
+
+
+def budgets(similarity: float) -> list[tuple[int, int]]:
+    """(size, bits): sets of at least that size and similarity differ in more bits of their wide fingerprints with a chance
+    of less than one in a billion, by 6.2 standard deviations. Of large sets a bit differs with the chance acos(c) / pi,
+    where c, their cosine, is at least 2 s / (1 + s); of sets of some shingles with up to a quarter more (ties of the count)."""
+    chance, bits, out = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WIDE, []
+    for size, more in ((0, 1.25), (32, 1.06)):
+        p = min(0.5, chance * more)
+        out.append((size, math.ceil(bits * p + 6.2 * math.sqrt(bits * p * (1 - p)))))
+    return out
+
+
+def _near(similarity: float) -> Column:
+    """Pigeonring over the WIDE words of the fingerprints prints_a and prints_b as segments: if they differ in at most a
+    budget of bits, some segment starts a chain whose first l segments differ in at most l / WIDE of it in sum, for every
+    l. Chains are followed only as far as they stay within that; the whole ring is the full Hamming check."""
+    words = [F.bit_count(F.col("prints_a")[k].bitwiseXOR(F.col("prints_b")[k])) for k in range(WIDE)]
+    budget = F.lit(0)
+    for size, bits in budgets(similarity):
+        budget = F.when(F.least("size_a", "size_b") >= size, bits).otherwise(budget)
+    some = F.lit(False)
+    for start in range(WIDE):
+        chain, total = F.lit(True), F.lit(0)
+        for length in range(1, WIDE + 1):
+            total = total + words[(start + length - 1) % WIDE]
+            chain &= total * WIDE <= budget * length
+        some |= chain
+    return some
+
+
+def similar(rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(id, component) of the rows of ``texts`` (a written table row, prints, size, least; a row for each different text)
+    that are similar to another one: their sets of shingles have at least this Jaccard similarity, or a chain of such
+    pairs connects them. ``rows`` (a written table row, text) has the texts.
+
+    A fingerprint of 64 bits differs in 4 to 11 at 0.8, and no segment of so wide a budget tells texts apart. So those
+    meet that share a rare shingle: any two such sets share one of the first n - ceil(similarity * n) + 1 of their n
+    shingles in an order that all follow, rare ones first. Of the pairs that meet, pigeonring over WIDE * 64 bits drops
+    those that differ too much (see budgets()), and the sets themselves decide.
+
+    Large groups are gathered first: texts that share one of their STARS least hashes meet the least of its texts only,
+    which is linear. What is connected then is one class, and the exact search that follows forms pairs between classes.
+    """
+    prints = texts.select("row", "prints", "size")
+    least = texts.select("row", F.explode("least").alias("h"))
+    centre = least.groupBy("h").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
+    stars = least.join(centre, "h").where("a <> row").selectExpr("a", "row b").distinct()
+    one = written(_alike(rows, _pruned(stars, prints, similarity), words, similarity), "simhash-stars")
+    groups = written(components(one), "simhash-classes").selectExpr("id row", "component")
+    class_ = texts.select("row").join(groups, "row", "left").select("row", F.coalesce("component", "row").alias("value"))
+    table = ByRow(class_, "simhash-class")
+    often, counts = common(rows, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            number = b.column(0).to_numpy()
+            hit, value = table.find(number)
+            if hit.any():
+                own = b.column(1).filter(pa.array(hit)).to_pylist()
+                yield postings(number[hit], value[hit], own, words, similarity, often, counts)
+
+    met = meeting(rows.select("row", "text").mapInArrow(run, POSTINGS), similarity)
+    two = written(_alike(rows, _pruned(met, prints, similarity), words, similarity), "simhash-pairs")
+    return components(one.select("a", "b").union(two.select("a", "b")))
+
+
+def _pruned(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(prints.toDF(side, f"prints_{side}", f"size_{side}"), side)
+    sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+    return written(pairs.where(sizes).where(_near(similarity)).select("a", "b"), "simhash-near")
+
+
+def _alike(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets reach the similarity. Only texts of pairs are read again; their sets go to the pairs."""
+    ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            own = [shingles(x, words).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["row", "own"])
+
+    sets = chosen(rows.select("row", "text"), "row", ids, "simhash-wanted").mapInArrow(run, "row bigint, own binary")
+    sets = written(sets, "simhash-sets")
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.toDF(side, f"own_{side}"), side)
+    return pairs.select("a", "b", "own_a", "own_b").mapInArrow(tried, "a bigint, b bigint")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
