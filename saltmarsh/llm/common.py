@@ -146,7 +146,7 @@ def free_name(wanted: str, taken: Iterable[str]) -> str:
 
 def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with further fields at its end, for mapInArrow."""
-    return T.StructType([T.StructField(f.name, f.dataType) for f in (*schema, *T.StructType.fromDDL(ddl))])
+    return T.StructType([T.StructField(f.name, f.dataType) for f in (*schema, *(T.StructType.fromDDL(ddl) if ddl else ()))])
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

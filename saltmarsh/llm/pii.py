@@ -3,23 +3,28 @@
 Tokens that hold a digit or @ are nodes; every other token is outside by definition, which cuts the chain
 exactly. Neighbours share chain potentials, and repeated or similar tokens anywhere in a document share skip
 potentials: each with the latest repeat before it, and with a repeat of fixed label if there is any. Tokens of
-pattern matches have their labels fixed; loopy message passing carries them to the rest.
+pattern matches have their labels fixed, and so have those of numbers that fail their check (outside); loopy message
+passing carries them to the rest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from saltmarsh.llm.common import pieces, shared_dir
+from saltmarsh.llm.common import pieces, shared_dir, with_fields, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -29,6 +34,10 @@ TRAIN_DOCS, TRAIN_TOKENS = 2000, 100_000
 SLOTS, ROUNDS, DAMPING = 512, 12, 0.3
 #: Posterior that a token needs to be added.
 CERTAIN = 0.7
+#: Features of a token; tokens of documents that are solved together.
+FEATURES, SOLVED = 9, 1 << 17
+#: Skip potential of two repeats that are of one kind, where the labelled documents have no repeats that tell otherwise.
+AGREE = 4.0
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -68,41 +77,66 @@ def luhn(digits: str) -> bool:
     return sum(LUHN[int(c)] if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
-def base_spans(text: str) -> list[Span]:
-    """The pattern matches, by start, then kind."""
+def matches(text: str) -> tuple[list[Span], list[Span]]:
+    """The pattern matches, by start, then kind; and the cards (of 12 to 19 digits) and ips that fail their check."""
     if not SIGN.search(text):
-        return []
-    out = list(emails(text)) if "@" in text else []
+        return [], []
+    out, failed = list(emails(text)) if "@" in text else [], []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            out.append(Span(m.start(), 1, m.end()))
+        good = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))
+        (out if good else failed).append(Span(m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = m.group().replace(" ", "").replace("-", "")
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                out.append(Span(m.start(), 2, m.end()))
+            if 12 <= len(digits) <= 19:
+                (out if luhn(digits) else failed).append(Span(m.start(), 2, m.end()))
     if "+" in text:
         for m in PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                 out.append(Span(m.start(), 3, m.end()))
-    return sorted(out)
+    return sorted(out), sorted(failed)
+
+
+def base_spans(text: str) -> list[Span]:
+    return matches(text)[0]
 
 
 class Graph(NamedTuple):
-    """The nodes of one document: places, active feature slots, fixed labels (-1: free), and its edges."""
+    """The nodes of one document: places, active feature slots (FEATURES each), fixed labels (-1: free); chain edges by their
+    second node (the first is the one before), skip edges as pairs. All are compact arrays."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    slots: np.ndarray
+    fixed: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
 
-    starts: list[int]
-    ends: list[int]
-    slots: list[list[int]]
-    fixed: list[int]
-    chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
 
+@lru_cache(maxsize=1 << 15)
+def features(own: str, plus: bool) -> bytes:
+    digits = sum("0" <= c <= "9" for c in own)
+    shape = re.sub(r"[0-9]+", lambda x: f"d{min(20, len(x.group()))}", re.sub(r"[^\W\d_]+", "a", own))
+    names = [
+        "bias", f"shape={shape[:40]}", f"digits={min(20, digits)}", f"at={'@' in own}", f"dots={min(4, own.count('.'))}",
+        f"letters={any(c.isalpha() for c in own)}", f"plus={plus}", f"paren={'(' in own}", f"dash={min(3, own.count('-'))}",
+    ]
+    slots = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % SLOTS for x in names]
+    return array("H", slots).tobytes()
+
+
+def graph(text: str, base: list[Span], failed: list[Span]) -> Graph:
+    """Tokens of matches have their kind as fixed label; those of numbers that fail their check are outside for certain."""
+    starts, ends, slots, fixed, chain, keys, of = array("q"), array("q"), bytearray(), array("b"), array("q"), array("Q"), array("q")
+    last, b, f = 0, 0, 0
+
+    def overlapping(spans: list[Span], k: int, start: int, end: int) -> Span | None:
+        while k < len(spans) and spans[k].start < end:
+            if spans[k].end > start:
+                return spans[k]
+            k += 1
+        return None
 
-def graph(text: str, base: list[Span]) -> Graph:
-    g = Graph([], [], [], [], [], [])
-    repeats: dict[str, list[int]] = {}
-    last, b = 0, 0
     for m in TOKEN.finditer(text):
         start, end = m.start(), m.end()
         while start > last and text[start - 1] in LOCAL:
@@ -115,39 +149,55 @@ def graph(text: str, base: list[Span]) -> Graph:
             continue
         while b < len(base) and base[b].end <= start:
             b += 1
-        label, k = -1, b
-        while k < len(base) and base[k].start < end:
-            if base[k].end > start:
-                label = base[k].kind + 1
-                break
-            k += 1
+        while f < len(failed) and failed[f].end <= start:
+            f += 1
+        label = -1
+        if span := overlapping(base, b, start, end):
+            label = span.kind + 1
+        elif overlapping(failed, f, start, end):
+            label = 0
+        i = len(starts)
+        if i and start - ends[-1] <= 2:
+            chain.append(i)
+        starts.append(start)
+        ends.append(end)
+        fixed.append(label)
+        slots += features(own, own[:1] == "+" or text[max(0, start - 1) : start] == "+")
         digits = "".join(c for c in own if "0" <= c <= "9")
-        shape = re.sub(r"[0-9]+", lambda x: f"d{min(20, len(x.group()))}", re.sub(r"[^\W\d_]+", "a", own))
-        before = text[max(0, start - 2) : start]
-        names = ["bias", f"shape={shape[:40]}", f"digits={min(20, len(digits))}", f"at={'@' in own}", f"dots={min(4, own.count('.'))}", f"letters={any(c.isalpha() for c in own)}", f"plus={own[:1] == '+' or before[-1:] == '+'}", f"paren={'(' in own}", f"dash={min(3, own.count('-'))}"]
-        i = len(g.starts)
-        g.starts.append(start)
-        g.ends.append(end)
-        g.slots.append([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % SLOTS for x in names])
-        g.fixed.append(label)
-        if i and start - g.ends[i - 1] <= 2:
-            g.chain.append((i - 1, i))
-        for key in {own.lower(), digits if len(digits) >= 6 else own.lower()}:
-            if key in repeats:
-                g.skip.append((repeats[key][-1], i))
-            repeats.setdefault(key, []).append(i)
+        if len(digits) >= 6 or own[0] in "(+" or "@" in own:  # a year or a house number repeats by chance
+            for key in {own.lower(), digits if len(digits) >= 6 else own.lower()}:
+                keys.append(xxh64_intdigest(key))
+                of.append(i)
         last = end
-    met = set(g.skip)
-    for own in repeats.values():
-        known = [i for i in own if g.fixed[i] >= 0]
-        for p, i in enumerate(own if known else ()):
-            if g.fixed[i] < 0 and all(g.fixed[j] < 0 for j in own[max(0, p - 1) : p + 2]):
-                hub = known[max(0, bisect(known, i) - 1)]  # the last fixed one before, or the first of all
-                edge = (min(hub, i), max(hub, i))
-                if edge not in met:
-                    met.add(edge)
-                    g.skip.append(edge)
-    return g
+    ints = lambda x, t: np.frombuffer(x, t)
+    labels = ints(fixed, np.int8)
+    skip = repeats(ints(keys, np.uint64), ints(of, np.int64), labels)
+    return Graph(ints(starts, np.int64), ints(ends, np.int64), ints(slots, np.uint16).reshape(-1, FEATURES), labels, ints(chain, np.int64), skip)
+
+
+def repeats(keys: np.ndarray, of: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """Pairs of nodes that share a key: each with the latest repeat before it, and each free one, that has none of fixed
+    label beside it, with the latest of fixed label before it, or else the first after it."""
+    order = np.argsort(keys, kind="stable")
+    keys, node = keys[order], of[order]
+    n = len(node)
+    if n < 2:
+        return np.zeros((0, 2), np.int64)
+    same = keys[1:] == keys[:-1]
+    known, at = fixed[node] >= 0, np.arange(n)
+    group = np.cumsum(np.append(True, ~same)) - 1
+    before = np.maximum.accumulate(np.where(known, at, -1))
+    after = np.minimum.accumulate(np.where(known, at, n)[::-1])[::-1]
+    inside = lambda x: (x >= 0) & (x < n) & (group[np.clip(x, 0, n - 1)] == group)
+    hub = np.where(inside(before), before, np.where(inside(after), after, -1))
+    beside = known.copy()
+    beside[1:] |= known[:-1] & same
+    beside[:-1] |= known[1:] & same
+    far = (hub >= 0) & ~beside
+    pairs = np.concatenate([np.stack([node[:-1][same], node[1:][same]], axis=1), np.stack([node[hub[far]], node[far]], axis=1)])
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs.sort(axis=1)
+    return np.unique(pairs[:, 0] << 32 | pairs[:, 1])[:, None] >> np.array([32, 0]) & 0xFFFFFFFF
 
 
 class Weights(NamedTuple):
@@ -166,8 +216,11 @@ class Joined(NamedTuple):
 def joined(graphs: list[Graph]) -> Joined:
     """The documents' graphs as one, without edges between them."""
     at = np.cumsum([0, *(len(g.starts) for g in graphs)])
-    edges = lambda k: np.array([(u + a, v + a) for g, a in zip(graphs, at.tolist()) for u, v in g[k]], np.int64).reshape(-1, 2)
-    return Joined(np.array([x for g in graphs for x in g.slots], np.int64).reshape(at[-1], -1), np.array([x for g in graphs for x in g.fixed], np.int64), edges(4), edges(5))
+    chain = np.concatenate([np.zeros(0, np.int64), *(g.chain + a for g, a in zip(graphs, at))])
+    skip = np.concatenate([np.zeros((0, 2), np.int64), *(g.skip + a for g, a in zip(graphs, at))])
+    slots = np.concatenate([np.zeros((0, FEATURES), np.uint16), *(g.slots for g in graphs)])
+    fixed = np.concatenate([np.zeros(0, np.int8), *(g.fixed for g in graphs)])
+    return Joined(slots, fixed, np.stack([chain - 1, chain], axis=1), skip)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -176,13 +229,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(data: Joined, steps: int = 150, rate: float = 0.2, decay: float = 2e-3) -> Weights:
-    """Weights of greatest pseudo-likelihood where tokens of matches have their kind and all others are outside."""
+    """Weights of greatest pseudo-likelihood where tokens of matches have their kind and all others are outside. They are
+    drawn to zero, but those of skip edges to AGREE for repeats of one kind: few documents say a match again in a form
+    that is none, and those that do are labelled outside here, so the data alone could teach no consistency."""
     y = np.maximum(data.fixed, 0)
     n = len(y)
-    unary, chain, skip = np.zeros((SLOTS, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
+    agree = np.diag([0.0, *[AGREE] * len(KINDS)])
+    unary, chain, skip = np.zeros((SLOTS, LABELS)), np.zeros((LABELS, LABELS)), agree.copy()
     if not n:
-        unary[:, 0] = 0.5
-        return Weights(unary, chain, skip + np.eye(LABELS) * 2)
+        unary[:, 0] = 0.25
+        return Weights(unary, chain, skip)
     want = np.eye(LABELS)[y]
     a, b = data.chain[:, 0], data.chain[:, 1]
     s, t = data.skip[:, 0], data.skip[:, 1]
@@ -194,7 +250,7 @@ def fit(data: Joined, steps: int = 150, rate: float = 0.2, decay: float = 2e-3)
         np.add.at(score, t, skip[y[s]])
         np.add.at(score, s, skip.T[y[t]])
         left = (want - _softmax(score)) / n
-        gu, gc, gs = -decay * unary / SLOTS, -decay * chain / LABELS, -decay * skip / LABELS
+        gu, gc, gs = -decay * unary / SLOTS, -decay * chain / LABELS, -decay * (skip - agree) / LABELS
         for k in range(data.slots.shape[1]):
             np.add.at(gu, data.slots[:, k], left)
         np.add.at(gc, y[a], left[b])
@@ -208,84 +264,134 @@ def fit(data: Joined, steps: int = 150, rate: float = 0.2, decay: float = 2e-3)
     return Weights(unary, chain, skip)
 
 
+def _parts(n: int, size: int = 1 << 16) -> Iterator[slice]:
+    return (slice(at, at + size) for at in range(0, n, size))
+
+
 def posteriors(data: Joined, weights: Weights) -> np.ndarray:
-    """Label probabilities of every node by damped sum-product message passing over chain and skip edges."""
-    own = weights.unary[data.slots].sum(axis=1)
-    known = np.flatnonzero(data.fixed >= 0)
-    own[known] = -50.0
-    own[known, data.fixed[known]] = 0.0
-    u = np.concatenate([data.chain[:, 0], data.skip[:, 0]])
-    v = np.concatenate([data.chain[:, 1], data.skip[:, 1]])
-    source, target = np.concatenate([u, v]), np.concatenate([v, u])
-    c, e = len(data.chain), len(u)
-    parts = [(slice(0, c), weights.chain), (slice(c, e), weights.skip), (slice(e, e + c), weights.chain.T), (slice(e + c, 2 * e), weights.skip.T)]
-    back = np.concatenate([np.arange(len(u)) + len(u), np.arange(len(u))])
-    sent = np.zeros((len(source), LABELS))
-    belief = own.copy()
-    for _ in range(ROUNDS if len(u) else 0):
-        x = belief[source] - sent[back]
-        top = x.max(axis=1, keepdims=True)
-        x = np.exp(x - top)
-        new = top + np.log(np.concatenate([x[part] @ np.exp(psi) for part, psi in parts]) + 1e-300)
-        new -= new.max(axis=1, keepdims=True)
-        sent = DAMPING * sent + (1 - DAMPING) * new
-        belief = own.copy()
-        np.add.at(belief, target, sent)
+    """Label probabilities of every node by damped sum-product message passing over chain and skip edges. What a node of
+    fixed label sends is constant, so it is added to its neighbours' own scores; messages run between free nodes."""
+    unary, n = weights.unary.astype(np.float32), len(data.fixed)
+    own = np.empty((n, LABELS), np.float32)
+    for part in _parts(n):
+        own[part] = unary[data.slots[part]].sum(axis=1)
+    free = data.fixed < 0
+    u, v, skip = [], [], []
+    for edges, psi in ((data.chain, weights.chain), (data.skip, weights.skip)):
+        a, b, psi = edges[:, 0], edges[:, 1], psi.astype(np.float32)
+        for x, y, table in ((a, b, psi), (b, a, psi.T)):
+            told = free[y] & ~free[x]
+            np.add.at(own, y[told], table[data.fixed[x[told]]])
+        both = free[a] & free[b]
+        u.append(a[both])
+        v.append(b[both])
+        skip.append(np.full(int(both.sum()), edges is data.skip))
+    own[~free] = -50.0
+    own[~free, data.fixed[~free]] = 0.0
+    u, v, skip = np.concatenate(u), np.concatenate(v), np.concatenate(skip)
+    e = len(u)
+    sent, belief = np.zeros((2 * e, LABELS), np.float32), own.copy()
+    tables = np.exp(np.stack([weights.chain, weights.skip, weights.chain.T, weights.skip.T])).astype(np.float32)
+    for _ in range(ROUNDS if e else 0):
+        new, total = np.empty_like(sent), own.copy()
+        for side, (source, target) in enumerate(((u, v), (v, u))):
+            for part in _parts(e):
+                to = slice(side * e + part.start, min(side * e + part.stop, (side + 1) * e))
+                back = slice((1 - side) * e + part.start, min((1 - side) * e + part.stop, (2 - side) * e))
+                x = belief[source[part]] - sent[back]
+                x = np.exp(x - x.max(axis=1, keepdims=True))
+                is_skip = skip[part][:, None]
+                y = np.log(np.where(is_skip, x @ tables[2 * side + 1], x @ tables[2 * side]) + np.float32(1e-30))
+                y -= y.max(axis=1, keepdims=True)
+                new[to] = DAMPING * sent[to] + (1 - DAMPING) * y
+                np.add.at(total, target[part], new[to])
+        sent, belief = new, total
     return _softmax(belief)
 
 
-def found(texts: list[str], weights: Weights) -> list[tuple[list[Span], list[Span]]]:
-    """(pattern matches, all spans) of each text. What the field adds overlaps no match."""
-    base = [base_spans(x) for x in texts]
-    which = [i for i, x in enumerate(texts) if SIGN.search(x)]
-    graphs = [graph(texts[i], base[i]) for i in which]
-    out = [(b, b) for b in base]
-    data = joined(graphs) if graphs else None
-    if data is None or not len(data.fixed) or (data.fixed >= 0).all():
-        return out
-    p = posteriors(data, weights)
-    label, sure, at = p.argmax(axis=1), p.max(axis=1), 0
-    for i, g in zip(which, graphs):
-        own = range(at, at + len(g.starts))
-        at += len(g.starts)
-        more: list[Span] = []
-        for j, k in enumerate(own):
-            if data.fixed[k] < 0 and label[k] and sure[k] >= CERTAIN:
-                kind = int(label[k]) - 1
-                if more and more[-1].kind == kind and 0 <= g.starts[j] - more[-1].end <= 1:
-                    more[-1] = Span(more[-1].start, kind, g.ends[j])
-                else:
-                    more.append(Span(g.starts[j], kind, g.ends[j]))
-        if more:
-            out[i] = (base[i], sorted([*base[i], *(x for x in more if not any(x.start < y.end and y.start < x.end for y in base[i]))]))
-    return out
+def added(g: Graph, p: np.ndarray, base: list[Span]) -> list[Span]:
+    """The spans of free nodes that are sure of a kind, joined where they touch, without those that overlap a match."""
+    label, sure = p.argmax(axis=1), p.max(axis=1)
+    more: list[Span] = []
+    for j in np.flatnonzero((g.fixed < 0) & (label > 0) & (sure >= CERTAIN)).tolist():
+        kind, start, end = int(label[j]) - 1, int(g.starts[j]), int(g.ends[j])
+        if more and more[-1].kind == kind and 0 <= start - more[-1].end <= 1:
+            more[-1] = Span(more[-1].start, kind, end)
+        else:
+            more.append(Span(start, kind, end))
+    first, reach = [x.start for x in base], list(accumulate((x.end for x in base), max))
+    return [x for x in more if not (k := bisect_left(first, x.end)) or reach[k - 1] <= x.start]
+
+
+def found(texts: list[str], weights: Weights) -> Iterator[tuple[list[Span], list[Span]]]:
+    """(pattern matches, all spans) of each text. What the field adds overlaps no match. Documents are solved together up to
+    about SOLVED tokens, a longer one alone, so memory follows the longest text: some 150 bytes a token of it."""
+    held: list[tuple[list[Span], Graph | None]] = []
+    size = 0
+
+    def solved() -> Iterator[tuple[list[Span], list[Span]]]:
+        graphs = [g for _, g in held if g is not None]
+        p = posteriors(joined(graphs), weights) if graphs else None
+        at = 0
+        for base, g in held:
+            more = []
+            if g is not None:
+                more = added(g, p[at : at + len(g.fixed)], base)
+                at += len(g.fixed)
+            yield base, sorted([*base, *more]) if more else base
+        held.clear()
+
+    for x in texts:
+        base, failed = matches(x)
+        g = graph(x, base, failed) if SIGN.search(x) else None
+        if g is not None and not (g.fixed < 0).any():
+            g = None
+        more = 0 if g is None else len(g.fixed)
+        if held and size + more > SOLVED:
+            yield from solved()
+            size = 0
+        held.append((base, g))
+        size += more
+    yield from solved()
 
 
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Weights:
-    """Fits the field on the TRAIN_DOCS documents of least id hash that hold a digit or @ (TRAIN_TOKENS tokens of
-    them at most, none from a document with more than a tenth of that), labelled by the patterns. Their graphs are
-    made on the executors. With no such document the field adds nothing of its own but what repeats a match."""
+    """Fits the field on the TRAIN_DOCS different documents of least hash of the id (and then of the text) that hold a digit
+    or @, labelled by the patterns: those of them, in that order, that have TRAIN_TOKENS tokens together, none with more
+    than a tenth of that. Their graphs are made on the executors, and the driver gets those that are taken. With no
+    such document the field adds nothing of its own but what repeats a match."""
     shared_dir(docs.sparkSession)
-    rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    top = rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    if top is None:
-        return fit(Joined(np.zeros((0, 9), np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)))
+    rows = docs.select(F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    least = rows.select("h", "t").distinct().orderBy("h", "t").limit(TRAIN_DOCS)
+    top = least.agg(F.max(F.struct("h", "t")).alias("x")).select("x.*").first()
+    nothing = joined([])
+    if top.h is None:
+        return fit(nothing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = graph(text, base_spans(text))
-                edges = lambda e: [[u, v] for u, v in e]
-                if len(g.starts) <= TRAIN_TOKENS // 10:
-                    yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([g.slots], pa.list_(pa.list_(pa.int32()))), pa.array([g.fixed], pa.list_(pa.int32())), pa.array([edges(g.chain)], pa.list_(pa.list_(pa.int32()))), pa.array([edges(g.skip)], pa.list_(pa.list_(pa.int32())))], ["h", "slots", "fixed", "chain", "skip"])
-
-    sample = rows.where(F.col("h") <= top).mapInArrow(run, "h bigint, slots array<array<int>>, fixed array<int>, chain array<array<int>>, skip array<array<int>>")
-    graphs, size = [], 0
-    for r in sorted(sample.limit(TRAIN_DOCS).collect(), key=lambda r: (r.h, r.fixed)):
-        if size + len(r.fixed) <= TRAIN_TOKENS:
-            graphs.append(Graph([0] * len(r.fixed), [], r.slots, r.fixed, r.chain, r.skip))
-            size += len(r.fixed)
-    return fit(joined(graphs) if size else Joined(np.zeros((0, 9), np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)))
+            for h, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                g = graph(text, *matches(text))
+                if 0 < len(g.starts) <= TRAIN_TOKENS // 10:
+                    raw = [pa.array([x.tobytes()], pa.binary()) for x in (g.slots, g.fixed, g.chain, g.skip)]
+                    yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([t]), pa.array([len(g.starts)]), *raw], ["h", "t", "n", "slots", "fixed", "chain", "skip"])
+
+    below = (F.col("h") < top.h) | (F.col("h") == top.h) & (F.col("t") <= top.t)
+    some = rows.where(below).dropDuplicates(["h", "t"]).mapInArrow(run, "h bigint, t bigint, n bigint, slots binary, fixed binary, chain binary, skip binary")
+    some = written(some, "pii-sample")
+    last, size = None, 0
+    for r in some.select("h", "t", "n").orderBy("h", "t").collect():
+        if size + r.n > TRAIN_TOKENS:
+            break
+        last, size = r, size + r.n
+    if last is None:
+        return fit(nothing)
+    taken = some.where((F.col("h") < last.h) | (F.col("h") == last.h) & (F.col("t") <= last.t)).orderBy("h", "t").collect()
+    graphs = []
+    for r in taken:
+        slots, fixed = np.frombuffer(r.slots, np.uint16).reshape(-1, FEATURES), np.frombuffer(r.fixed, np.int8)
+        graphs.append(Graph(np.zeros(len(fixed)), np.zeros(0), slots, fixed, np.frombuffer(r.chain, np.int64), np.frombuffer(r.skip, np.int64).reshape(-1, 2)))
+    return fit(joined(graphs))
 
 
 def find(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +402,7 @@ def find(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            both = found([x or "" for x in b.column(1).to_pylist()], weights)
+            both = list(found([x or "" for x in b.column(1).to_pylist()], weights))
             lists = [[[{"kind": KINDS[s.kind], "start": s.start, "end": s.end} for s in own] for own in side] for side in zip(*both)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, kind) for x in lists)], ["doc_id", "base", "spans"])
 
@@ -328,8 +434,7 @@ def redact(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFra
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, with_fields(docs.schema, ""))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

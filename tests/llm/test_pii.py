@@ -1,5 +1,7 @@
 import random
 import re
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -59,7 +61,63 @@ def test_repeats_take_the_label_of_their_match(weights):
     assert [text[s.start : s.end] for s in base] == ["+1 (407) 555-7710"]
     assert [(KINDS[s.kind], text[s.start : s.end]) for s in spans if s not in base] == [("phone", "(407) 555-7710")]
     clean = ["In 2020 there were 17 of 3,000", "v1.2 of 12 parts, 99%", ""]
-    assert pii.found(clean, weights) == [([], [])] * 3
+    assert list(pii.found(clean, weights)) == [([], [])] * 3
+
+
+def test_numbers_that_fail_their_check_are_not_added(weights):
+    for bad in ("4111111111111112", "1234 5678 9012 3456", "10.20.30.400", "6011 0009 9013 9425"):
+        text = f"card {bad} and once more {bad}."
+        ((base, spans),) = pii.found([text], weights)
+        assert base == spans == [], bad
+    ((base, spans),) = pii.found(["pay 4111111111111111 4111111111111111 now, with 4111111111111111."], weights)
+    assert len(base) == 1 and [s.kind for s in spans] == [2] * len(spans) and spans[0].start == 4, "a valid card twice in a row is no match"
+
+
+def test_chain_and_skip_potentials_decide(weights):
+    """What the field finds in these texts goes when its chain, or its skip potentials, are set to zero."""
+    zero = np.zeros((pii.LABELS, pii.LABELS))
+    text = "Call +1 4075557710 now. Much later in the text: 4075557710 again."
+    count = lambda w, t=text: sum(len(spans) - len(base) for base, spans in pii.found([t], w))
+    assert count(weights) == 1 and count(weights._replace(skip=zero)) == 0
+    strong = weights._replace(chain=np.eye(pii.LABELS) * 4, skip=zero, unary=weights.unary * 0)
+    joined = "me@x.org 4075557710 and nothing else"
+    assert count(strong, joined) == 1 and count(strong._replace(chain=zero), joined) == 0
+
+
+def test_documents_are_solved_alike_in_any_company(weights, monkeypatch):
+    wanted = [list(pii.found([t], weights))[0] for t in TEXTS[:40]]
+    assert list(pii.found(TEXTS[:40], weights)) == wanted
+    monkeypatch.setattr(pii, "SOLVED", 7)
+    assert list(pii.found(TEXTS[:40], weights)) == wanted
+
+
+def test_sample_is_bounded_and_the_same_for_tied_ids(spark, monkeypatch):
+    rows = [(None, t) for t in TEXTS[:60]] * 3
+    monkeypatch.setattr(pii, "TRAIN_DOCS", 20)
+    monkeypatch.setattr(pii, "TRAIN_TOKENS", 200)
+    one = pii.trained(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    two = pii.trained(spark.createDataFrame(rows[::-1], "doc_id bigint, text string").repartition(2))
+    assert all(np.array_equal(x, y) for x, y in zip(one, two)) and np.abs(one.unary).sum() > 0
+
+
+MEMORY = """
+import resource, random, numpy as np
+from saltmarsh.llm import pii
+w = pii.Weights(np.random.default_rng(1).normal(size=(pii.SLOTS, 5)), np.eye(5), np.eye(5) * 2)
+list(pii.found(["a@b.co 12"], w))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rng = random.Random(1)
+text = " ".join(str(rng.randrange(10**9, 10**10)) for _ in range(1_900_000))
+assert len(text) > 20_000_000
+list(pii.found([text, "4111111111111111"], w))
+print(before >> 10, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+def test_twenty_megabytes_of_digits_take_less_than_a_gigabyte():
+    run = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True)
+    before, most = map(int, run.stdout.split())
+    assert most < 1000, (before, most)
 
 
 def exact_posteriors(data, weights):

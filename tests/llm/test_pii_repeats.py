@@ -19,7 +19,7 @@ def test_all_repeats_take_the_label_of_a_match_however_many_there_are():
 
 def test_edges_stay_in_proportion_to_the_repeats():
     text = " then ".join(["+1 4075557710", *["4075557710"] * 500, "+1 4075557710"])
-    g = pii.graph(text, pii.base_spans(text))
+    g = pii.graph(text, *pii.matches(text))
     assert len(g.skip) <= 3 * len(g.starts)
     fixed = {i for i, x in enumerate(g.fixed) if x >= 0}
     assert len(fixed) == 4 and {i for e in g.skip for i in e if fixed & set(e)} == set(range(len(g.starts)))
