@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import pieces, shared_dir
+from saltmarsh.llm.common import pieces, shared_dir, with_fields, written
 
 #: Components of a vector, letters of an n-gram.
 DIMENSIONS, N = 1024, 3
@@ -20,6 +20,10 @@ KEPT = 12_000
 #: Characters that are turned into n-grams at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
+#: Languages that are learned at most.
+LANGUAGES = 1024
+#: Four standard deviations of the cosine of unrelated vectors.
+CHANCE = 4 / DIMENSIONS**0.5
 
 
 @lru_cache(maxsize=4096)
@@ -107,16 +111,23 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(True))
 
 
-def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and each one's bundle of all its documents' n-grams, of length 1.
 
-    Covers all rows with a text and a language. A task sends one vector a language and 8192 of its rows or
-    fewer; they are summed in the executors, and the driver gets one vector a language.
+    Covers all rows with a text and a language; of more than ``most`` languages, those of the most rows (the first by
+    name on a tie). A task sends one vector for each of its languages; they are summed in the executors, and the driver
+    gets one vector for each of ``most`` languages.
     """
     shared_dir(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for lang, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (DIMENSIONS + 1)), pa.array(range(-1, DIMENSIONS), pa.int32()), pa.array(v)], ["lang", "i", "x"])
+            total.clear()
+
         for b in pieces(batches, most=4 << 20):
             by: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -124,27 +135,36 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             for lang, own in by.items():
                 found, n = np.unique(np.concatenate(own), return_counts=True)
                 if len(found):
-                    total[lang] = total.get(lang, 0) + vectors().bundle(found, n).astype(np.float64)
-        for lang, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(v)], ["lang", "i", "x"])
+                    bundle = np.concatenate([[len(own)], vectors().bundle(found, n).astype(np.float64)])
+                    total[lang] = total.get(lang, 0) + bundle
+            if len(total) > LANGUAGES:  # many labels in one task: their sums go on, and memory is bounded
+                yield from sums()
+        yield from sums()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()
+    sums = written(rows.mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x")), "language-sums")
+    top = sums.where("i = -1").orderBy(F.desc("x"), "lang").limit(most).select("lang")
+    own = sums.where("i >= 0").join(F.broadcast(top), "lang", "left_semi")  # most rows at most
+    found = own.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()
     names = [r.lang for r in found]
     table = np.array([[x.x for x in r.v] for r in found], np.float64).reshape(len(names), DIMENSIONS)
     return names, table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)
 
 
-def identify(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (columns of these names are replaced).
+def identify(
+    docs: DataFrame, names: list[str], table: np.ndarray, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", clear: int | None = None
+) -> DataFrame:
+    """``docs`` with the prediction and its score in columns ``pred_col`` and ``score_col`` (which are replaced if the input
+    has such columns; give free names to keep those).
 
-    lang_pred is the language whose profile has the greatest cosine with the text's bundle (the first by name
-    on a tie), score that cosine, 0 at least. Texts that are null or without a letter get ``und`` and 0,
-    as do all texts if nothing was learned. An empty table gives no rows.
+    The prediction is the language whose profile has the greatest cosine with the text's bundle (the first by name
+    on a tie), the score that cosine, 0 at least. Texts that are null or without a letter get ``und`` and 0,
+    as do all texts if nothing was learned. With ``clear``, a text of at least that many different n-grams whose greatest
+    cosine is within CHANCE of nothing gets ``und`` too: it is long enough to resemble its language, and resembles
+    none that was learned. An empty table gives no rows.
     """
     shared_dir(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(pred_col, score_col)
     at = docs.columns.index(text_col)
     table = table.astype(np.float32)
 
@@ -157,15 +177,16 @@ def identify(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str
                     best.append(UNKNOWN)
                     score.append(0.0)
                     continue
-                v = vectors().bundle(*np.unique(own, return_counts=True))
+                found, n = np.unique(own, return_counts=True)
+                v = vectors().bundle(found, n)
                 cosine = table @ v / max(float(np.linalg.norm(v)), 1e-12)
                 k = int(cosine.argmax())
-                best.append(names[k])
+                stranger = clear is not None and len(found) >= clear and cosine[k] < CHANCE
+                best.append(UNKNOWN if stranger else names[k])
                 score.append(min(1.0, max(0.0, float(cosine[k]))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, pred_col, score_col])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return docs.mapInArrow(run, with_fields(docs.schema, f"`{pred_col}` string, `{score_col}` double"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

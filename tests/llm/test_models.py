@@ -1,4 +1,6 @@
 import math
+import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,3 +114,63 @@ def test_columns_of_the_whole_operator(docs, plain):
     names, table = langid.profiles(docs)
     found = langid.identify(docs, names, table)
     assert found.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"] and found.count() == len(plain)
+    kept = langid.identify(docs, names, table, pred_col="p", score_col="q")
+    assert kept.columns == [*docs.columns, "p", "q"] and {r.score for r in kept.collect()} == {1.0}
+
+
+def brute_vector(text):
+    """A text's bundle by the definition: letter vectors rotated by their place, bound and summed, trigram by trigram."""
+    marks = [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in text.lower()]
+    line = [0]
+    for m in [*marks, 0]:
+        if m or line[-1]:
+            line.append(m)
+    total = np.zeros(langid.DIMENSIONS, np.int64)
+    for i in range(len(line) - 2):
+        if any(line[i : i + 3]):
+            parts = [np.roll(langid.letter_vector(c).astype(np.int64), 2 - k) for k, c in enumerate(line[i : i + 3])]
+            total += parts[0] * parts[1] * parts[2]
+    return total
+
+
+def brute_predictions(rows, learned, asked):
+    sums = {}
+    for i, text, lang in rows:
+        if learned(i) and text is not None and lang is not None:
+            sums[lang] = sums.get(lang, 0) + brute_vector(text)
+    sums = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if np.any(v)}
+    out = []
+    for i, text in asked:
+        v = brute_vector(text or "")
+        if not text or not any(unicodedata.category(c)[0] == "L" for c in text.lower()):
+            out.append((i, "und", 0.0))
+            continue
+        cosine = {k: float(s @ v) / max(np.linalg.norm(v), 1e-12) for k, s in sums.items()}
+        best = max(cosine, key=lambda k: (cosine[k], -list(cosine).index(k)))
+        out.append((i, best, min(1.0, max(0.0, cosine[best]))))
+    return out
+
+
+def test_predictions_and_scores_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(t.split()) for _ in range(rng.randint(1, 12))) + rng.choice(["", "!", " 12 ", "Ünïcödé", " 𝔡 "]), lang) for i, (lang, t) in enumerate(list(LANGUAGES.items()) * 25)]
+    rows += [(900, None, "en"), (901, "", "de"), (902, "12 3", "fr"), (903, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    names, table = langid.profiles(df)
+    found = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(df, names, table).collect())
+    wanted = sorted(brute_predictions(rows, lambda i: True, [(i, t) for i, t, _ in rows]))
+    assert [x[:2] for x in found] == [x[:2] for x in wanted] and np.allclose([x[2] for x in found], [x[2] for x in wanted], atol=1e-5)
+
+
+def test_long_texts_of_no_learned_language_and_the_number_of_languages(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(t.split()) for _ in range(9)), lang) for lang, t in LANGUAGES.items() for i in range(30 + len(lang + t))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    names, table = langid.profiles(df)
+    greek = "".join(chr(0x3B1 + rng.randrange(24)) if rng.random() < 0.8 else " " for _ in range(2000))
+    texts = spark.createDataFrame([(1, greek), (2, greek[:20]), (3, rows[0][1])], "doc_id bigint, text string")
+    assert [r.lang_pred for r in langid.identify(texts, names, table, clear=200).orderBy("doc_id").collect()][0] == "und"
+    assert all(r.lang_pred != "und" for r in langid.identify(texts.where("doc_id > 1"), names, table, clear=200).collect())
+    assert all(r.lang_pred != "und" for r in langid.identify(texts, names, table).collect())
+    largest = max(LANGUAGES, key=lambda k: len(k + LANGUAGES[k]))
+    assert langid.profiles(df, most=1)[0] == [largest]
