@@ -10,16 +10,18 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.bpe import SPLIT, Encoder, vocabulary
-from saltmarsh.llm.common import pieces, shared_dir, written
+from saltmarsh.llm.common import free_name, pieces, shared_dir, with_fields, written
 
 #: Pieces that are packed together in the first round; bounds the memory of a task.
 BLOCK = 1 << 18
 #: Groups of the earlier round that meet in one of the next.
 FAN = 64
+#: Bits of the numbers of a bin in its block, a block in its task, and a task.
+BIN_BITS, BLOCK_BITS, PART_BITS = 18, 20, 25
 
 
 class LibraryEncoder(Encoder):
@@ -122,15 +124,19 @@ def underfull(loads: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def packed(items: DataFrame, capacity: int = 2048, length_col: str = "length") -> DataFrame:
-    """``items`` (a written table, lengths 1 to ``capacity``) with sequence_id and offset.
+    """``items`` (a written table, lengths 1 to ``capacity``) with sequence_id and offset, which are replaced if the input
+    has such columns; all other columns stay, whatever their names.
 
     Each task packs its rows in blocks of at most BLOCK, without a shuffle. Bins that could still take or
     join others go up as items of their own, FAN groups meeting in each round, until one group is
     left; a round moves at most FAN + 1 bins a group. All rows stay; an empty table gives none.
     """
     spark = items.sparkSession
+    items = items.drop("sequence_id", "offset")
     schema = items.schema
     at_len = schema.fieldNames().index(length_col)
+    own = [free_name(f"packing_{x}", schema.fieldNames()) for x in ("bin", "at", "block", "load", "up")]
+    bin_, at_, block_, load_, up_ = own
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, rows = TaskContext.get().partitionId(), 0, [], 0
@@ -141,10 +147,13 @@ def packed(items: DataFrame, capacity: int = 2048, length_col: str = "length") -
             bins, at, loads = best_fit(table.column(at_len).to_numpy(), capacity)
             up = np.zeros(len(loads), bool)
             up[underfull(loads, capacity)] = True
-            block = part << 10 | number
+            if number >= 1 << BLOCK_BITS or part >= 1 << PART_BITS:
+                raise OverflowError("too many blocks in a task, or tasks, for the numbers of bins")
+            block = part << BLOCK_BITS | number
             number += 1
-            more = [block << 20 | bins, at, np.full(len(bins), block), loads[bins], up[bins]]
-            return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns), *map(pa.array, more)], [*table.column_names, "bin", "at", "block", "load", "up"])
+            more = [block << BIN_BITS | bins, at, np.full(len(bins), block), loads[bins], up[bins]]
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
+            return pa.RecordBatch.from_arrays([*columns, *map(pa.array, more)], [*table.column_names, *own])
 
         for b in batches:
             while b.num_rows:
@@ -157,51 +166,66 @@ def packed(items: DataFrame, capacity: int = 2048, length_col: str = "length") -
         if rows:
             yield flush()
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    placed = written(items.mapInArrow(first, f"{ddl}, bin bigint, at bigint, block bigint, load bigint, up boolean"), "packed")
-    left = placed.where("up").select("block", "bin", "load").distinct()
-    order = left.select("block").distinct().selectExpr("block", "block div 1024 part", "block % 1024 number")
-    groups = left.selectExpr("block grp", "bin", "load")
+    ddl = f"`{bin_}` bigint, `{at_}` bigint, `{block_}` bigint, `{load_}` bigint, `{up_}` boolean"
+    placed = written(items.mapInArrow(first, with_fields(schema, ddl)), "packed")
+    left = placed.where(F.col(up_)).select(F.col(block_).alias("block"), F.col(bin_).alias("bin"), F.col(load_).alias("load")).distinct()
+    rank = written(_ranked(left.select("block").distinct()), "packing-blocks")
+    blocks = rank.count()
+    groups = left.join(rank, "block").select(F.col("n").alias("grp"), "bin", "load")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        grp, ids, load = (table.column(i).to_numpy() for i in range(3))
-        for g in np.unique(grp):
-            own = np.flatnonzero(grp == g)
-            own = own[np.lexsort((ids[own], -load[own]))]
-            bins, at, loads = best_fit(load[own], capacity)
+        """A group at a time: the rows come sorted by group."""
+        held: list[pa.RecordBatch] = []
+
+        def one() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            grp, ids, load = (table.column(i).to_numpy() for i in range(3))
+            order = np.lexsort((ids, -load))
+            ids, load = ids[order], load[order]
+            bins, at, loads = best_fit(load, capacity)
             host = np.zeros(len(loads), np.int64)
-            host[bins[::-1]] = ids[own][::-1]  # a bin keeps the name of its first item
+            host[bins[::-1]] = ids[::-1]  # a bin keeps the name of its first item
             up = np.zeros(len(loads), bool)
             up[underfull(loads, capacity)] = True
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(own), g), ids[own], host[bins], at, loads[bins], up[bins])], ["grp", "bin", "into", "shift", "load", "up"])
+            columns = [pa.array(x) for x in (grp, ids, host[bins], at, loads[bins], up[bins])]
+            return pa.RecordBatch.from_arrays(columns, ["grp", "bin", "into", "shift", "load", "up"])
 
-    where = placed.select("*")
-    where = where.withColumn("seq", F.col("bin"))
+        for b in batches:
+            grp = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                if held and held[-1].column(0)[0].as_py() != grp[start]:
+                    yield one()
+                held.append(b.slice(start, end - start))
+        if held:
+            yield one()
+
+    seq, into, shift = (free_name(f"packing_{x}", [*schema.fieldNames(), *own]) for x in ("seq", "into", "shift"))
+    where = placed.withColumn(seq, F.col(bin_))
     maps: list[DataFrame] = []
-    blocks = order.count()
-    rank = written(_ranked(order), "packing-blocks")
-    groups = groups.join(rank, groups.grp == rank.block).select(F.col("n").alias("grp"), "bin", "load")
     while blocks > 1:
         blocks = -(-blocks // FAN)
-        met = groups.selectExpr(f"grp div {FAN} grp", "bin", "load").repartition(min(blocks, 1000), "grp")
+        met = groups.selectExpr(f"grp div {FAN} grp", "bin", "load").repartition(min(blocks, 1000), "grp").sortWithinPartitions("grp")
         round_ = written(met.mapInArrow(again, "grp bigint, bin bigint, `into` bigint, shift bigint, load bigint, up boolean"), "packing-round")
-        maps.append(round_.where("bin <> `into`").select("bin", "into", "shift"))
+        maps.append(round_.where("bin <> `into`").select(F.col("bin").alias(seq), F.col("into").alias(into), F.col("shift").alias(shift)))
         groups = round_.where("up and bin = `into`").select("grp", "bin", "load")
     for m in maps:
-        m = m.selectExpr("bin seq", "`into`", "shift")
-        where = where.join(m, "seq", "left").withColumn("at", F.col("at") + F.coalesce("shift", F.lit(0))).withColumn("seq", F.coalesce("into", "seq")).drop("into", "shift")
-    return where.select(*(f"`{n}`" for n in schema.fieldNames()), F.col("seq").alias("sequence_id"), F.col("at").alias("offset"))
+        moved = F.col(at_) + F.coalesce(shift, F.lit(0))
+        where = where.join(m, seq, "left").withColumn(at_, moved).withColumn(seq, F.coalesce(into, seq)).drop(into, shift)
+    return where.select(*(f"`{n}`" for n in schema.fieldNames()), F.col(seq).alias("sequence_id"), F.col(at_).alias("offset"))
 
 
 def _ranked(order: DataFrame) -> DataFrame:
-    """Numbers the blocks from 0 by (part, number) in a single group: one row for each block, which is
-    one for each BLOCK pieces or each input split."""
-    from pyspark.sql import Window
-
-    return order.select("block", (F.row_number().over(Window.orderBy("part", "number")) - 1).cast("bigint").alias("n"))
+    """Numbers the blocks from 0 in order, by sorted ranges: each range's blocks follow those of the ranges before it, whose
+    sizes (a row for each range) are all that meets in one place."""
+    ranges = written(order.repartitionByRange("block").sortWithinPartitions("block").select("block", F.spark_partition_id().alias("part")), "packing-ranges")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("block")) - 1
+    return ranges.join(before, "part").select("block", (F.col("before") + within).cast("bigint").alias("n"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> DataFrame:

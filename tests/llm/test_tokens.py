@@ -105,3 +105,14 @@ def test_best_fit():
     for k in range(len(loads)):
         own = sorted((a, s) for a, s, b in zip(at, sizes, bins) if b == k)
         assert [a for a, _ in own] == [sum(s for _, s in own[:i]) for i in range(len(own))]
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["bin", "at", "seq", "into", "shift", "up", "packing_bin", "packing_seq", "a b"]
+    rows = [(i, 1 + i * 37 % 900, *range(9)) for i in range(400)]
+    items = packing.written(spark.createDataFrame(rows, "doc_id bigint, length bigint, " + ", ".join(f"`{n}` int" for n in names)).repartition(4), "test-items")
+    found = packing.packed(items)
+    assert found.columns == [*items.columns, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:11] for r in found.collect()) == sorted(rows) and check_packed(found.collect(), 2048) <= sum(r[1] for r in rows) / 2048 + 2
+    again = packing.packed(packing.written(found, "test-items"))
+    assert again.columns == found.columns and again.count() == 400
