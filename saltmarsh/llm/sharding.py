@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import shared_dir, written
+from saltmarsh.llm.common import free_name, shared_dir, written
 
 #: Bits of the row hash: the first 15 hex digits of an MD5.
 BITS = 60
@@ -59,7 +59,8 @@ def directory(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
 
 
 def sharded(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_bytes, depth, shard, shard_bytes and shard_rows; any columns of these names are replaced.
+    """``docs`` with n_bytes, depth, shard, shard_bytes and shard_rows; any columns of these names are replaced, and all
+    others stay, whatever their names.
 
     n_bytes is the text's length in UTF-8 (null: 0). The hash is over id and text, so a hot id spreads.
     Equal rows that exceed the limit together can't be told apart by any bit: they fill numbered pages of
@@ -73,13 +74,15 @@ def sharded(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_co
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
     sizes = written(docs.select(row_hash(id_col, text_col).alias("h"), size.alias("n_bytes")), "shard-sizes")
     levels = directory(sizes, limit)
-    hidden = "__saltmarsh_h"
+    free = lambda x: free_name(f"sharding_{x}", [*docs.columns, *own])
+    hidden, group, place, total, page_no = (free(x) for x in ("hash", "group", "place", "total", "page"))
+    cell, field = (lambda i: free(f"cell{i}")), (lambda n, i: free(f"{n}{i}"))
     now = docs.withColumn("n_bytes", size).withColumn(hidden, row_hash(id_col, text_col))
     names = ["depth", "shard_bytes", "shard_rows"]
     for i, (bits, table) in enumerate(levels):
-        entry = table.select(F.col("cell").alias(f"__cell{i}"), *(F.col(n).alias(f"__{n}{i}") for n in names))
-        now = now.join(entry, _prefix(F.col(hidden), bits) == F.col(f"__cell{i}"), "left")
-    pick = lambda n: F.coalesce(*(F.when(F.col(f"__depth{i}").isNotNull(), F.col(f"__{n}{i}")) for i in range(len(levels))))
+        entry = table.select(F.col("cell").alias(cell(i)), *(F.col(n).alias(field(n, i)) for n in names))
+        now = now.join(entry, _prefix(F.col(hidden), bits) == F.col(cell(i)), "left")
+    pick = lambda n: F.coalesce(*(F.when(F.col(field("depth", i)).isNotNull(), F.col(field(n, i))) for i in range(len(levels))))
     kept = docs.columns
     now = now.select(*(F.col(f"`{c}`") for c in kept), "n_bytes", hidden, *(pick(n).alias(n) for n in names))
     shard = F.substring(F.lpad(F.bin(hidden), BITS, "0"), F.lit(1), F.col("depth"))
@@ -89,12 +92,14 @@ def sharded(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_co
     packed = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
     groups = F.ceil(F.col("shard_bytes") / (limit * PAGES))
     page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("n_bytes"))))
-    many = plain.where(packed).withColumn("__g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), groups))
-    rank = F.row_number().over(Window.partitionBy(hidden, "__g").orderBy(F.lit(1))) - 1
-    total = F.count("*").over(Window.partitionBy(hidden, "__g"))
-    many = many.withColumn("__r", rank).withColumn("__n", total).withColumn("__p", F.floor(F.col("__r") / page))
-    rows = F.least(page, F.col("__n") - F.col("__p") * page)
-    many = many.withColumn("shard", F.concat_ws("-", "shard", F.col("__g").cast("string"), F.col("__p").cast("string"))).withColumn("shard_rows", rows.cast("bigint")).withColumn("shard_bytes", (rows * F.col("n_bytes")).cast("bigint"))
+    many = plain.where(packed).withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), groups))
+    same = Window.partitionBy(hidden, group)
+    many = many.withColumn(place, F.row_number().over(same.orderBy(F.lit(1))) - 1).withColumn(total, F.count("*").over(same))
+    many = many.withColumn(page_no, F.floor(F.col(place) / page))
+    rows = F.least(page, F.col(total) - F.col(page_no) * page)
+    name = F.concat_ws("-", "shard", F.col(group).cast("string"), F.col(page_no).cast("string"))
+    many = many.withColumn("shard", name).withColumn("shard_rows", rows.cast("bigint"))
+    many = many.withColumn("shard_bytes", (rows * F.col("n_bytes")).cast("bigint"))
     columns = [*(F.col(f"`{c}`") for c in kept), *map(F.col, own)]
     return plain.where(~packed).select(*columns).union(many.select(*columns))
 

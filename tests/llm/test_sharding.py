@@ -41,6 +41,16 @@ def test_equal_rows_fill_pages(spark):
     assert sharding.sharded(df.limit(0), 5000).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["__g", "sharding_group", "sharding_hash", "sharding_place", "sharding_total", "sharding_page", "sharding_cell0", "sharding_depth0", "a b"]
+    rows = [(i % 3, "x" * 900, *range(9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for limit in (2000, 10**6):
+        found = sharding.sharded(df, limit)
+        assert found.columns == [*df.columns, "n_bytes", "depth", "shard", "shard_bytes", "shard_rows"]
+        assert {tuple(r)[2:11] for r in found.collect()} == {tuple(range(9))} and found.count() == 120
+
+
 def test_sql_agrees_where_many_shards_are_needed(spark, tmp_path):
     rows = [(i, "ü" * (i * 37 % 400)) for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
