@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import pieces, shared_dir
+from saltmarsh.llm.common import cached, pieces, shared_dir
 
 #: Entries of each generation of a cache; a cache keeps two.
 CACHE = 250_000
@@ -197,7 +196,7 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@cached(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

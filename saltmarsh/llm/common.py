@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches are cut at this many bytes of input, so that very long texts can't gather in one batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shipped(spark: SparkSession) -> None:
@@ -149,12 +153,56 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in (*schema, *(T.StructType.fromDDL(ddl) if ddl else ()))])
 
 
+_clear: dict[str, list] = {}
+_owner = ""
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers are reused, and wait for each other's stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def take(module: str) -> None:
+    """Clears the caches of all other modules when a worker goes over to another operator."""
+    global _owner
+    if module != _owner:
+        _owner = module
+        for name, own in _clear.items():
+            if name != module:
+                for clear in own:
+                    clear()
+        gc.collect()
+        trim()
+
+
+def cached(maxsize: int, entry: bool = True):
+    """lru_cache for what workers keep between tasks. An ``entry`` takes the worker for its module when it is called."""
+
+    def keep(f):
+        out = lru_cache(maxsize)(f)
+        _clear.setdefault(f.__module__, []).append(out.cache_clear)
+        if not entry:
+            return out
+
+        @wraps(f)
+        def get(*args):
+            take(f.__module__)
+            return out(*args)
+
+        return get
+
+    return keep
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into slices of at most ``rows`` rows and about ``most`` bytes (a single row may be larger)."""
     for batch in batches:
         step = max(1, min(rows, int(batch.num_rows * most / max(1, batch.nbytes)) or 1))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    trim()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import pieces, shared_dir
+from saltmarsh.llm.common import cached, pieces, shared_dir
 
 #: Blocks in a row of the images written, and bytes of a square of blocks.
 SIDE, TILE = 24, 576
@@ -36,7 +35,7 @@ class Huffman(NamedTuple):
     symbol: np.ndarray
 
 
-@lru_cache(maxsize=256)
+@cached(256, entry=False)
 def huffman(counts: bytes, symbols: bytes) -> Huffman:
     """Code length and symbol of every 16-bit window; length 0 where no code begins so."""
     length, symbol = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
@@ -204,8 +203,6 @@ def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
     return Image(width, height, restart, Layout(tuple(own)), data[at:end]), end + 2
 
 
-
-
 def _in_step(layout: Layout, window: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     most, top = int(counts.max()), len(window) - 1
     first = layout.components[0]

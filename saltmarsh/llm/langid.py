@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import pieces, shared_dir, with_fields, written
+from saltmarsh.llm.common import cached, pieces, shared_dir, with_fields, written
 
 #: Components of a vector, letters of an n-gram.
 DIMENSIONS, N = 1024, 3
@@ -26,7 +25,7 @@ LANGUAGES = 1024
 CHANCE = 4 / DIMENSIONS**0.5
 
 
-@lru_cache(maxsize=4096)
+@cached(4096, entry=False)
 def letter_vector(code: int) -> np.ndarray:
     """The random vector of -1 and 1 of a character; 0 stands for any run of what is no letter."""
     return (np.random.Generator(np.random.PCG64([1_000_003, code])).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1).astype(np.int8)
@@ -40,7 +39,7 @@ def ngram_vector(letters: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
+@cached(1, entry=False)
 def letters() -> np.ndarray:
     """Which of the first 65536 code points are letters."""
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(1 << 16)])
@@ -101,7 +100,7 @@ class Vectors:
         return out
 
 
-@lru_cache(maxsize=1)
+@cached(1)
 def vectors() -> Vectors:
     return Vectors()
 

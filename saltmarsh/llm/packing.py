@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.bpe import SPLIT, Encoder, vocabulary
-from saltmarsh.llm.common import free_name, pieces, shared_dir, with_fields, written
+from saltmarsh.llm.common import cached, free_name, pieces, shared_dir, with_fields, written
 
 #: Pieces that are packed together in the first round; bounds the memory of a task.
 BLOCK = 1 << 18
@@ -60,7 +59,7 @@ class LibraryEncoder(Encoder):
             units.put(x, out[i])
 
 
-@lru_cache(maxsize=2)
+@cached(2)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 

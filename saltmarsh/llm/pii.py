@@ -14,7 +14,6 @@ import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from saltmarsh.llm.common import pieces, shared_dir, with_fields, written
+from saltmarsh.llm.common import cached, pieces, shared_dir, take, with_fields, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -113,7 +112,7 @@ class Graph(NamedTuple):
     skip: np.ndarray
 
 
-@lru_cache(maxsize=1 << 15)
+@cached(1 << 15, entry=False)
 def features(own: str, plus: bool) -> bytes:
     digits = sum("0" <= c <= "9" for c in own)
     shape = re.sub(r"[0-9]+", lambda x: f"d{min(20, len(x.group()))}", re.sub(r"[^\W\d_]+", "a", own))
@@ -326,6 +325,7 @@ def added(g: Graph, p: np.ndarray, base: list[Span]) -> list[Span]:
 def found(texts: list[str], weights: Weights) -> Iterator[tuple[list[Span], list[Span]]]:
     """(pattern matches, all spans) of each text. What the field adds overlaps no match. Documents are solved together up to
     about SOLVED tokens, a longer one alone, so memory follows the longest text: some 150 bytes a token of it."""
+    take(__name__)
     held: list[tuple[list[Span], Graph | None]] = []
     size = 0
 

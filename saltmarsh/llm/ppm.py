@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import dropped, new_path, pieces, removed, shared_dir, written
+from saltmarsh.llm.common import cached, dropped, new_path, pieces, removed, shared_dir, written
 
 #: Bytes of the longest context. A context and its byte are 48 bits; the other 16 number the texts of a block.
 ORDER = 5
@@ -230,7 +229,7 @@ class Shards:
         return hit, columns
 
 
-@lru_cache(maxsize=1)
+@cached(1)
 def shards() -> Shards:
     return Shards()
 

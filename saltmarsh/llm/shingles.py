@@ -18,6 +18,8 @@ from saltmarsh.llm.common import pieces
 SAMPLE, SHARE = 20_000, 8
 #: Common shingles that are known to the workers at most, and the texts of the sample that make a shingle common.
 COMMON, OFTEN = 1 << 18, 3
+#: Shingles that a task counts at a time.
+COUNTED = 1 << 21
 #: Pairs that are held before they are sent on.
 HELD = 1 << 20
 #: Texts that may share a key; those of a more common shingle are divided.
@@ -57,17 +59,28 @@ def prefix(own: np.ndarray, similarity: float, common: np.ndarray, counts: np.nd
 
 def common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that many texts of a table (row, text) hold, and about how many hold them. They only
-    set the order in which a set's shingles are taken, in which any order is right."""
+    set the order in which a set's shingles are taken, in which any order is right. A task counts COUNTED shingles at a
+    time and sends on those that it meets twice, so most, which are rare, are never shuffled."""
     step = max(1, min(SHARE, texts.count() // SAMPLE))
     some = texts.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text")
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in pieces(batches):
-            own = [shingles(x, words).view(np.int64) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["h"])
-
-    often = some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= OFTEN)
-    top = often.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+            for x in b.column(0).to_pylist():
+                held.append(shingles(x, words))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
+
+    often = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    top = often.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy() * step
     order = np.argsort(h)
     return h[order], n[order]

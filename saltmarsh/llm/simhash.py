@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from saltmarsh.llm.common import ByRow, chosen, components, free_name, pieces, shared_dir, with_fields, written
+from saltmarsh.llm.common import ByRow, chosen, components, free_name, pieces, shared_dir, take, with_fields, written
 from saltmarsh.llm.shingles import POSTINGS, common, meeting, postings, shingles, shingles_of, tokens_of
 
 #: Shingle hashes whose bits are counted at once. The words and their places are lists over the whole text: about 150
@@ -190,6 +190,7 @@ def _with_prints(docs: DataFrame, name: str, words: int, text_col: str) -> DataF
     at, names = docs.columns.index(text_col), [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take(__name__)
         for batch in pieces(batches):
             same, prints, sizes, least = [], [], [], []
             for x in batch.column(at):
@@ -281,14 +282,15 @@ def _pruned(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame
 def _alike(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose sets reach the similarity. Only texts of pairs are read again; their sets go to the pairs."""
     ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    table = ByRow(ids.select("row", F.lit(0).cast("bigint").alias("value")), "simhash-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
+            b = b.filter(pa.array(table.find(b.column(0).to_numpy())[0]))
             own = [shingles(x, words).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["row", "own"])
 
-    sets = chosen(rows.select("row", "text"), "row", ids, "simhash-wanted").mapInArrow(run, "row bigint, own binary")
-    sets = written(sets, "simhash-sets")
+    sets = written(rows.select("row", "text").mapInArrow(run, "row bigint, own binary"), "simhash-sets")
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
