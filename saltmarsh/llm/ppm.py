@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import zstandard
 from pyarrow import fs
@@ -149,10 +150,12 @@ def gathered(docs: DataFrame, held: Column, id_col: str, text_col: str) -> str:
 
 
 class Files(NamedTuple):
-    """A sorted table in the shared folder: its files, and the first code in each."""
+    """A sorted table in the shared folder: its files, the first code in each, and all their rows."""
 
     uris: tuple[str, ...]
     lows: tuple[int, ...]
+    path: str = ""
+    rows: int = 0
 
 
 class Model(NamedTuple):
@@ -163,13 +166,17 @@ class Model(NamedTuple):
     contexts: tuple[Files, ...]
     trained: bool
 
+    @property
+    def rows(self) -> int:
+        return sum(f.rows for f in (*self.entries, *self.contexts))
+
 
 def _sorted_files(df: DataFrame, tag: str) -> Files:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.repartitionByRange("code").sortWithinPartitions("code").write.option("maxRecordsPerFile", SHARD_ROWS).parquet(path)
-    found = spark.read.schema(df.schema).parquet(path).groupBy(F.col("_metadata.file_path").alias("uri")).agg(F.min("code").alias("low")).orderBy("low").collect()
-    return Files(tuple(r.uri for r in found), tuple(r.low for r in found))
+    found = spark.read.schema(df.schema).parquet(path).groupBy(F.col("_metadata.file_path").alias("uri")).agg(F.min("code").alias("low"), F.count("*").alias("n")).orderBy("low").collect()
+    return Files(tuple(r.uri for r in found), tuple(r.low for r in found), path, sum(r.n for r in found))
 
 
 def fit(grams: DataFrame) -> Model:
@@ -271,29 +278,105 @@ def log_probability(model: Model, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text and its end."""
+def score_texts(values, texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each text and its end. ``values`` gives that of sorted different codes."""
     total = np.zeros(len(texts))
     for first, x in contexts(texts):
         x = np.sort(x)
         code = (x >> INDEX).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        value = np.repeat(log_probability(model, code[starts]), np.diff(np.append(starts, len(code))))
+        value = np.repeat(values(code[starts]), np.diff(np.append(starts, len(code))))
         own = np.bincount((x & ((np.uint64(1) << INDEX) - np.uint64(1))).astype(np.int64), value)
         total[first : first + len(own)] += own
     return total
 
 
+def frequent(model: Model, spark: SparkSession, most: int) -> Files:
+    """The codes that were learned most often, ``most`` at most, with their probabilities: what a worker holds."""
+    own = spark.read.schema(ENTRIES).parquet(model.entries[ORDER].path)
+    level = F.floor(F.log2("c")).cast("int")
+    least, n = 64, 0
+    for r in own.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 64 rows at most
+        if n + r["count"] > most:
+            break
+        least, n = r.level, n + r["count"]
+    return _sorted_files(own.where(level >= least).select("code", "first"), "ppm-frequent")
+
+
+def rare_codes(texts: DataFrame, held: Files) -> DataFrame:
+    """(chunk, code): the different codes of each chunk of texts that aren't among the frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large, chunk, own = zstandard.ZstdDecompressor(), None, []
+
+        def close() -> pa.RecordBatch:
+            found = np.unique(np.concatenate([np.zeros(0, np.int64), *own]))
+            own.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk, np.int64)), pa.array(found)], ["chunk", "code"])
+
+        for b in pieces(batches):
+            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if at != chunk:
+                    if own:
+                        yield close()
+                    chunk = at
+                for _, x in contexts([large.decompress(raw)]):
+                    code = np.unique((x >> INDEX).astype(np.int64))
+                    own.append(code[~shards().find(held, code)[0]])
+                if len(own) > 256:
+                    own[:] = [np.unique(np.concatenate(own))]
+        if own:
+            yield close()
+
+    return texts.select("chunk", "text").mapInArrow(run, "chunk bigint, code bigint")
+
+
+ENTRIES, CONTEXTS = "code bigint, c bigint, first double", "code bigint, n bigint, d bigint, x bigint"
+
+
+def probabilities(model: Model, codes: DataFrame) -> DataFrame:
+    """(code, value) of different codes, as log_probability() has it, by joins with the model's tables, an order at a time.
+    A code that was learned is found at once; others go down until an order has their byte."""
+    spark, done = codes.sparkSession, []
+    state = codes.select("code", F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("ex"), F.lit(0).cast("bigint").alias("edx"), F.lit(True).alias("fresh"))
+    for k in range(ORDER, -1, -1):
+        small = (lambda df: F.broadcast(df)) if k < 2 else (lambda df: df)  # contexts of 1 byte at most: 66,000 rows
+        entries = small(spark.read.schema(ENTRIES).parquet(model.entries[k].path).toDF("own", "c", "first"))
+        known = small(spark.read.schema(CONTEXTS).parquet(model.contexts[k].path).toDF("ctx", "n", "d", "mine"))
+        own = state.withColumn("own", F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).withColumn("ctx", F.expr("shiftright(own, 8)"))
+        own = own.join(entries, "own", "left").join(known, "ctx", "left")
+        n, d = F.col("n") - F.col("ex"), F.col("d") - F.col("edx")
+        total = F.greatest(n + d, F.lit(1))
+        hit, seen = F.col("c").isNotNull(), F.col("n").isNotNull()
+        gain = F.when(hit & F.col("fresh"), F.col("first")).when(hit, F.log10(F.col("c") / total)).when(seen & (d > 0), F.log10(d / total)).otherwise(0.0)
+        own = own.select(
+            "code", (F.col("value") + gain).alias("value"), F.when(seen, F.col("mine")).otherwise(F.col("ex")).alias("ex"),
+            F.when(seen, F.col("d")).otherwise(F.col("edx")).alias("edx"), (F.col("fresh") & ~seen).alias("fresh"), hit.alias("done"),
+        )
+        own = written(own, "ppm-state")
+        done.append(own.where("done").select("code", "value"))
+        state = own.where("not done").drop("done")
+    rest = state.select("code", (F.col("value") - F.log10(F.greatest(F.lit(1), 256 - F.col("edx")))).alias("value"))
+    for more in done:
+        rest = rest.union(more)
+    return written(rest, "ppm-values")
+
+
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", held_rows: int = HELD_ROWS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     The base is the smoothed word model over all learned documents; score is the byte model's log10 probability
     of the text with A-Z in lower case and its end. Null texts are empty (one token, the end); rows of null id
     are held out, repeated ids keep a row each; an empty table gives no rows; where nothing is learned,
     all counts are 0 and bytes are uniform. Other columns are not read.
+
+    A model of at most ``held_rows`` rows is looked up by the workers, which hold what they read of it. Of a larger one
+    they hold the most frequent contexts with their bytes; all others of a chunk of texts are sent once to be joined
+    with the model's tables, and come back with their probabilities. So no chunk reads the model again, and work
+    stays in proportion to the texts.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -311,13 +394,40 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
     ends = texts.where("not held_out").count()
     n, v = n + ends, v + (ends > 0)
     floor = math.log10(n + 0.1 * (v + 1))
-    looked = words.select("chunk", "word").join(counts, "word")
+    looked = words.select("chunk", "word").join(counts, "word").select("chunk", "word", "c", F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("double").alias("value"))
+    large_model, often = model.trained and model.rows > held_rows, None
+    if large_model:
+        often = frequent(model, spark, held_rows // 2)
+        rare = written(rare_codes(texts, often), "ppm-rare")
+        values = probabilities(model, rare.select("code").distinct())
+        back = rare.join(values, "code").select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("c"), "code", "value")
+        looked = looked.union(back)
     end_log = math.log10(ends + 0.1) - floor
     unknown = math.log10(0.1) - floor
     names = [x.split()[0] for x in SCORED.split(", ")]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
+    def values_of(right: pa.Table):
+        if not large_model:
+            return lambda codes: log_probability(model, codes)
+        right = right.select(["code", "value"]).filter(pc.is_valid(right.column("code")))
+        code, value = right.column("code").to_numpy(), right.column("value").to_numpy()
+        order = np.argsort(code)
+        code, value = code[order], value[order]
+
+        def values(codes: np.ndarray) -> np.ndarray:
+            hit, columns = shards().find(often, codes)
+            out = columns[0] if columns else np.zeros(len(codes))
+            miss = np.flatnonzero(~hit)
+            at = np.searchsorted(code, codes[miss])
+            out[miss] = value[at]
+            return out
+
+        return values
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        values = values_of(right)
+        right = right.filter(pc.is_valid(right.column("word")))
         keys = right.column("word").to_pylist()
         logs = dict(zip(keys, (np.log10(right.column("c").to_numpy() + 0.1) - floor).tolist()))
         del keys
@@ -331,10 +441,10 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
             tokens.append(len(own) + 1)
             known.append(len(found) + (ends > 0))
             base.append(math.fsum(found) + (len(own) - len(found)) * unknown + end_log)
-        columns = [ids, held, tokens, known, [n] * len(ids), base, score_texts(model, raw)]
+        columns = [ids, held, tokens, known, [n] * len(ids), base, score_texts(values, raw)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return texts.groupBy("chunk").cogroup(looked.select("chunk", "word", "c").groupBy("chunk")).applyInArrow(run, SCORED)
+    return texts.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(run, SCORED)
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,13 +47,14 @@ def brute_scores(docs):
     return out
 
 
-@pytest.mark.parametrize("chunk", [8 << 20, 1000])
-def test_scores_against_the_definition(docs, plain, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "held"), [(8 << 20, ppm.HELD_ROWS), (1000, ppm.HELD_ROWS), (8 << 20, 2000), (1000, 0)])
+def test_scores_against_the_definition(docs, plain, chunk, held, monkeypatch):
+    """Also with models that outgrow what a worker holds: in part, and as a whole."""
     monkeypatch.setattr(ppm, "CHUNK_BYTES", chunk)
     few = docs.where("text IS NULL OR length(text) < 5000")
     wanted = brute_scores([(i, t) for i, t in plain if t is None or len(t) < 5000])
     key = lambda x: (str(x[0]), x[2], round(x[5], 6), round(x[6], 6))
-    found = sorted((tuple(r) for r in ppm.scored(few).collect()), key=key)
+    found = sorted((tuple(r) for r in ppm.scored(few, held_rows=held).collect()), key=key)
     wanted.sort(key=key)
     assert [x[:5] for x in found] == [x[:5] for x in wanted]
     assert np.allclose([x[5:] for x in found], [x[5:] for x in wanted], atol=1e-8)
