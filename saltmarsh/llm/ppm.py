@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import cached, dropped, new_path, pieces, removed, shared_dir, written
+from saltmarsh.llm.common import cached, dropped, new_path, pieces, removed, shared_dir, trim, written
 
 #: Bytes of the longest context. A context and its byte are 48 bits; the other 16 number the texts of a block.
 ORDER = 5
@@ -30,7 +30,7 @@ INDEX = np.uint64(64 - 8 * (ORDER + 1))
 #: The byte that is in no UTF-8 text stands for a text's end, and for what is before its start.
 END = 0xFF
 #: Text that is looked up together, and positions that are sorted together.
-CHUNK_BYTES, BLOCK = 8 << 20, 1 << 22
+CHUNK_BYTES, BLOCK = 8 << 20, 1 << 21
 #: Rows of a file of a model table, and rows that a Python worker holds in memory.
 SHARD_ROWS, HELD_ROWS = 1 << 19, 12 << 20
 
@@ -52,14 +52,17 @@ def contexts(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         own = texts[first:at]
         raw = np.frombuffer(b"\xff" * ORDER + (b"\xff" * ORDER).join(own) + b"\xff", np.uint8)
         sizes = np.array([len(x) + 1 for x in own], np.int64)
-        which = np.repeat(np.arange(at - first), sizes)
-        place = np.arange(len(which)) + np.repeat(np.arange(1, len(own) + 1) * (ORDER - 1) + 1, sizes)
-        for a in range(0, len(place), BLOCK):
-            p = place[a : a + BLOCK]
+        which = np.repeat(np.arange(at - first, dtype=np.uint16), sizes)
+        for a in range(0, len(which), BLOCK):
+            own_text = which[a : a + BLOCK]
+            p = np.arange(a, a + len(own_text)) + (own_text.astype(np.int64) + 1) * (ORDER - 1) + 1
             code = np.zeros(len(p), np.uint64)
             for k in range(ORDER, -1, -1):
-                code = code << np.uint64(8) | raw[p - k]
-            yield first, code << INDEX | which[a : a + BLOCK].astype(np.uint64)
+                code <<= np.uint64(8)
+                code |= raw[p - k]
+            code <<= INDEX
+            code |= own_text
+            yield first, code
 
 
 def counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,11 +285,12 @@ def score_texts(values, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each text and its end. ``values`` gives that of sorted different codes."""
     total = np.zeros(len(texts))
     for first, x in contexts(texts):
-        x = np.sort(x)
-        code = (x >> INDEX).astype(np.int64)
+        x.sort()
+        code = (x >> INDEX).view(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        value = np.repeat(values(code[starts]), np.diff(np.append(starts, len(code))))
-        own = np.bincount((x & ((np.uint64(1) << INDEX) - np.uint64(1))).astype(np.int64), value)
+        counts, code = np.diff(np.append(starts, len(code))), code[starts]
+        value = np.repeat(values(code), counts)
+        own = np.bincount((x & ((np.uint64(1) << INDEX) - np.uint64(1))).astype(np.uint16), value)
         total[first : first + len(own)] += own
     return total
 
@@ -441,7 +445,9 @@ def scored(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id",
             tokens.append(len(own) + 1)
             known.append(len(found) + (ends > 0))
             base.append(math.fsum(found) + (len(own) - len(found)) * unknown + end_log)
+        del logs
         columns = [ids, held, tokens, known, [n] * len(ids), base, score_texts(values, raw)]
+        trim()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return texts.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(run, SCORED)
