@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +33,8 @@ def shipped(spark: SparkSession) -> None:
     if getattr(sc, "saltmarsh_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="saltmarsh-code-"), "saltmarsh.zip")
+    name = Path(tempfile.mkdtemp(prefix="saltmarsh-code-"), "saltmarsh.zip")  # the driver serves it to the executors
+    atexit.register(shutil.rmtree, name.parent, True)
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
