@@ -1,10 +1,9 @@
-"""Near-duplicate vectors: binary codes of random rotations, with correction factors and confidence bounds.
+"""Near-duplicate vectors: binary codes of random rotations, with correction factors and error bounds.
 
 Each vector is rotated by several random rotations; its code is the signs of all components, and for each rotation
-the inner product of the unit vector with its code is stored. The vectors of a label of at most WHOLE classes all
-meet; in larger ones bits of the codes, in bands, bring vectors together.
-Of two that meet, one's code and factors give an unbiased estimate of the other's inner product with it, and a
-bound of its error; only pairs that the bound can't rule out are recomputed in double precision.
+the inner product of the unit vector with its code is stored. All different vectors of a label meet. Of two that meet,
+one's code and factors give a direction near it and the angle between the two, so by the triangle inequality of angles
+a bound that no similar vector escapes; only pairs that it can't rule out are recomputed in double precision.
 """
 
 from __future__ import annotations
@@ -14,25 +13,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saltmarsh.llm.common import cached, components, shared_dir, trim, written
+from saltmarsh.llm.common import cached, components, new_path, shared_dir, trim, written
 
 #: Vectors of a part: groups of more are compared part by part.
 PART = 4096
-#: Vectors whose estimates with a part are made at once.
+#: Vectors whose bounds with a part are made at once.
 SLICE = 512
-#: Classes of a label that are compared with all others of it, without bands, at most.
+#: Classes of a label whose parts are sent to each other; of larger ones, workers read the parts from the shared folder,
+#: so that no vector is sent more than WHOLE / PART times. All pairs are compared either way.
 WHOLE = 1 << 14
-#: Chance that a pair at the threshold meets in some band, in larger labels.
+#: Pairs of parts of large labels that a task compares at most, and bytes of a row group of the files it reads.
+TASK, GROUP_BYTES = 256, 2 << 20
+#: Pairs that are recomputed at once.
+PAIRS = 1 << 17
+#: Chance that a pair at the threshold meets in some band of bands(), which near_vectors() doesn't use: it loses no pair.
 RECALL = 0.9999
-#: Labels whose sizes are broadcast at most (some MB).
+#: Groups whose sizes are broadcast at most (some MB).
 BROADCAST_LABELS = 100_000
 #: Bits of a code, rounded up to whole rotations.
 CODE = 256
-#: Standard deviations of the estimate's error that are allowed for.
+#: Standard deviations that the error of a single estimate stays within; bounds don't rest on it.
 SIGMAS = 5.0
 
 
@@ -64,21 +70,12 @@ def turns_of(dim: int) -> int:
     return max(1, -(-CODE // dim))
 
 
-def band_signs(unit: np.ndarray, bits: int, first: int, last: int) -> np.ndarray:
-    """The keys of the bands from ``first`` up to ``last``, by rotations of their own."""
-    dim = unit.shape[1]
-    turns = -(-bits * last // dim)
-    turned = unit @ rotations(dim, turns)[bits * first : bits * last].T
-    return (turned > 0).reshape(len(unit), last - first, bits) @ (1 << np.arange(bits, dtype=np.int64))
+CODED = "cid bigint, n bigint, grp bigint, parts bigint, raw binary, code binary, factors binary"
 
 
-CODED = "cid bigint, dim int, n bigint, raw binary, code binary, factors binary, keys array<bigint>"
-
-
-def coded(classes: DataFrame, bits: int, count: int) -> DataFrame:
-    """CODED of (cid, embedding, n, banded): the vector's bytes; its binary code, a bit for each component of its
-    rotations; and for each rotation the inner product of the unit vector with its code (the correction factor).
-    Vectors that are ``banded`` have the keys of ``count`` bands, others none."""
+def coded(classes: DataFrame) -> DataFrame:
+    """CODED of (cid, embedding, n, grp, parts): the vector's bytes; its binary code, a bit for each component of its
+    rotations; and for each rotation the inner product of the unit vector with its code (the correction factor)."""
     names = [x.split()[0] for x in CODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,70 +96,58 @@ def coded(classes: DataFrame, bits: int, count: int) -> DataFrame:
         factor = np.abs(turned).reshape(len(own), turns, dim).sum(axis=2) / math.sqrt(dim)
         code = np.packbits(turned > 0, axis=1)
         raw = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
-        take = pa.array(own)
-        banded = b.column(3).take(take).to_numpy(zero_copy_only=False)
-        keys: list = [None] * len(own)
-        if banded.any():
-            found = band_signs(unit[banded], bits, 0, count)
-            for i, k in zip(np.flatnonzero(banded).tolist(), found):
-                keys[i] = k
-        columns = [
-            b.column(0).take(take), pa.array([dim] * len(own), pa.int32()), b.column(2).take(take), raw(x), raw(code), raw(factor),
-            pa.array(keys, pa.list_(pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    return classes.select("cid", "embedding", "n", "banded").mapInArrow(run, CODED)
+        cid, n, grp, parts = (b.column(i).take(pa.array(own)) for i in (0, 2, 3, 4))
+        return pa.RecordBatch.from_arrays([cid, n, grp, parts, raw(x), raw(code), raw(factor)], names)
+
+    return classes.select("cid", "embedding", "n", "grp", "parts").mapInArrow(run, CODED)
 
 
 class Block:
     """Vectors of whole groups, sorted by group and part, with what their comparison needs."""
 
-    def __init__(self, rows: pa.Table, threshold: float, bits: int, wide: np.dtype) -> None:
+    def __init__(self, rows: pa.Table, threshold: float, wide: np.dtype) -> None:
         column = lambda c: rows.column(c).to_numpy()
-        self.cid, self.n, self.band, self.own, self.a, self.b = (column(c) for c in ("cid", "n", "band", "own", "a", "b"))
+        self.cid, self.n, self.own, self.a, self.b = (column(c) for c in ("cid", "n", "own", "a", "b"))
         self.raw, self.code, self.factors = (rows.column(c) for c in ("raw", "code", "factors"))
-        self.threshold, self.bits, self.wide = threshold, bits, wide
+        self.threshold, self.wide = threshold, wide
         self.left, self.right = [], []
 
     def _matrix(self, column: pa.ChunkedArray, first: int, last: int, kind: type | np.dtype) -> np.ndarray:
         return np.frombuffer(b"".join(column.slice(first, last - first).to_pylist()), kind).reshape(last - first, -1)
 
     def compare(self, first: int, last: int) -> None:
-        """Compares the vectors of one group, which share dimension, label, band and key: all of them, or those of one part
-        with those of another. Codes and factors of the first give estimates; bounds decide what is recomputed."""
+        """Compares the vectors of one group, which share dimension and label: all of them, or those of one part with those
+        of another. The codes of the first, turned back and added up, are a direction whose angle with the vector
+        follows from its factors. What is within the threshold's angle of the vector is within the sum of both angles of
+        that direction; the rest needs no look."""
         middle = first + int(np.searchsorted(self.own[first:last], self.b[first])) if self.a[first] != self.b[first] else first
         if middle == last:
             return
         unit = unit_of(self._matrix(self.raw, first, last, self.wide))
         dim = unit.shape[1]
         turns = turns_of(dim)
-        right = unit[middle - first :]
-        turned = (right @ rotations(dim, turns).T).astype(np.float32).T
+        back = rotations(dim, turns) / math.sqrt(dim)
+        right = unit[middle - first :].astype(np.float32).T
+        slack = 1e-5 + dim * 2.0**-22  # rounding in single precision
         end = middle if middle > first else last
         for at in range(first, end, SLICE):
             to = min(at + SLICE, end)
             factor = self._matrix(self.factors, at, to, np.float64)
             signs = np.unpackbits(self._matrix(self.code, at, to, np.uint8), axis=1, count=turns * dim)
-            code = (signs.astype(np.float32) * 2 - 1).reshape(to - at, turns, dim)
-            code *= (1 / (factor * math.sqrt(dim) * turns))[:, :, None].astype(np.float32)
-            estimate = code.reshape(to - at, -1) @ turned
-            spread = np.sqrt(((1 - factor**2).clip(0) / factor**2).sum(axis=1)) / turns
-            slack = SIGMAS * spread * math.sqrt(1 - self.threshold**2) / math.sqrt(max(1, dim - 1)) + 1e-5
-            i, j = np.nonzero(estimate >= (self.threshold - slack)[:, None].astype(np.float32))
+            centre = (signs * 2.0 - 1) @ back
+            length = np.linalg.norm(centre, axis=1)
+            angle = np.arccos((factor.sum(axis=1) / length).clip(-1, 1)) + math.acos(self.threshold)
+            bound = np.cos(np.minimum(angle, math.pi)) - slack
+            near = (centre / length[:, None]).astype(np.float32) @ right
+            i, j = np.nonzero(near >= bound[:, None].astype(np.float32))
             i, j = i + at, j + middle
             if middle == first:
                 i, j = i[i < j], j[i < j]
-            exact = np.einsum("ij,ij->i", unit[i - first], unit[j - first]) >= self.threshold
-            i, j = i[exact], j[exact]
-            if band := int(self.band[first]):  # what shares an earlier band was linked there
-                some, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-                if len(some):
-                    keys = band_signs(unit[some - first], self.bits, 0, band)
-                    new = (keys[back[: len(i)]] != keys[back[len(i) :]]).all(axis=1)
-                    i, j = i[new], j[new]
-            self.left.append(i)
-            self.right.append(j)
+            for some in range(0, len(i), PAIRS):
+                x, y = i[some : some + PAIRS], j[some : some + PAIRS]
+                exact = np.einsum("ij,ij->i", unit[x - first], unit[y - first]) >= self.threshold
+                self.left.append(x[exact])
+                self.right.append(y[exact])
 
     def result(self) -> pa.RecordBatch:
         """Numbers of linked vectors, and edges that connect what is linked: each at most one a row."""
@@ -186,8 +171,11 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(w)], ["a", "b", "w"])
 
 
-def _compared(groups: DataFrame, threshold: float, bits: int, wide: np.dtype) -> DataFrame:
-    names = ["label", "dim", "band", "key", "a", "b"]
+LINKS = "a bigint, b bigint, w bigint"
+
+
+def _compared(groups: DataFrame, threshold: float, wide: np.dtype) -> DataFrame:
+    names = ["grp", "a", "b"]
 
     def starts(rows: pa.Table) -> np.ndarray:
         change = np.zeros(rows.num_rows, bool)
@@ -220,7 +208,7 @@ def _compared(groups: DataFrame, threshold: float, bits: int, wide: np.dtype) ->
         trim()
 
     def block(rows: pa.Table) -> pa.RecordBatch:
-        own = Block(rows.combine_chunks(), threshold, bits, wide)
+        own = Block(rows.combine_chunks(), threshold, wide)
         at = [*starts(rows).tolist(), rows.num_rows]
         for first, last in zip(at, at[1:]):
             if last - first > 1:
@@ -228,15 +216,61 @@ def _compared(groups: DataFrame, threshold: float, bits: int, wide: np.dtype) ->
         return own.result()
 
     spread = groups.repartition(*names).sortWithinPartitions(*names, "own")
-    return spread.mapInArrow(run, "a bigint, b bigint, w bigint")
+    return spread.mapInArrow(run, LINKS)
+
+
+def _compared_apart(codes: DataFrame, sizes: DataFrame, threshold: float, wide: np.dtype) -> DataFrame:
+    """The same for the parts of large groups: sorted files in the shared folder, of which a task reads two parts at a time.
+    What is written and sent is in proportion to the vectors, whatever the number of pairs."""
+    spark = codes.sparkSession
+    numbered = sizes.select("grp", "parts", (F.sum("parts").over(Window.orderBy("grp")) - F.col("parts")).alias("first"))
+    numbered = written(numbered, "vector-large")  # a row for each large group
+    path = new_path(spark, "vector-parts")
+    own = codes.drop("parts").join(F.broadcast(numbered), "grp").withColumn("part", F.col("first") + F.pmod(F.xxhash64("cid"), F.col("parts")))
+    own = own.select("part", "cid", "n", "raw", "code", "factors").repartitionByRange("part").sortWithinPartitions("part")
+    own.write.option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
+    listed = spark.read.schema("part bigint").parquet(path).groupBy(F.col("_metadata.file_path").alias("uri"))
+    files = [tuple(r) for r in listed.agg(F.min("part").alias("low"), F.max("part").alias("high")).collect()]
+    number = lambda low: F.explode(F.sequence(low, F.col("parts") - 1))
+    pairs = numbered.withColumn("a", number(F.lit(0).cast("bigint"))).withColumn("b", number(F.col("a")))
+    pairs = pairs.select((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    many = numbered.agg(F.sum(F.expr("parts * (parts + 1) div 2"))).first()[0]
+    tasks = min(many, max(4 * spark.sparkContext.defaultParallelism, -(-many // TASK)))
+
+    def read(part: int) -> pa.Table:
+        tables = []
+        for uri, low, high in files:
+            if low <= part <= high:
+                system, name = fs.FileSystem.from_uri(uri)
+                tables.append(pq.read_table(name, filesystem=system, filters=[("part", "==", part)]))
+        return pa.concat_tables(tables) if tables else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, None
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if a != last:
+                    last, left = a, read(a)
+                right = read(b) if a != b else None
+                both = [x for x in (left, right) if x is not None]
+                if left is None or a != b and right is None:
+                    continue
+                rows = pa.concat_tables(both).combine_chunks().rename_columns(["own", *left.column_names[1:]])
+                for name, value in (("a", a), ("b", b)):
+                    rows = rows.append_column(name, pa.array(np.full(rows.num_rows, value)))
+                block = Block(rows, threshold, wide)
+                block.compare(0, rows.num_rows)
+                yield block.result()
+        trim()
+
+    return pairs.repartitionByRange(tasks, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, LINKS)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept): a row for every row of ``vectors``.
 
-    Vectors are compared within their label, by cosine in double precision; all pairs given as linked reach the
-    threshold. In labels of at most WHOLE classes all pairs are estimated; in larger ones a pair at the threshold is
-    estimated with probability RECALL (closer ones with more). Equal vectors of a label are one class, compared once, and
+    Vectors are compared within their label, by cosine in double precision; the pairs linked are those that reach the
+    threshold, in labels of any size. Equal vectors of a label are one class, compared once, and
     are linked with each other. Vectors of different length aren't compared. Vectors that are null, empty, zero, or hold null or non-finite components, and those
     without a label, have no links and are kept. Rows of null id count as linked vectors, and take the least id
     that isn't null of their component; kept is false for them unless they are alone without an id. An
@@ -244,7 +278,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     A group of more than PART classes is split into parts that meet in pairs, so that no task holds it whole; what goes
     there is a vector's own bytes, its code and factors. Pairs aren't sent on, but numbers of links and edges of a
-    spanning forest.
+    spanning forest. The work of a label grows with the square of its different vectors.
     """
     spark = vectors.sparkSession
     shared_dir(spark)
@@ -257,21 +291,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     valid = rows.where(fine)
     classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    sizes = written(classes.groupBy("label").count().withColumnRenamed("count", "size"), "vector-labels")
-    labels, most = sizes.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(1))).first()
-    bits, count = bands(most, threshold)
-    sized = classes.join(F.broadcast(sizes) if labels <= BROADCAST_LABELS else sizes, "label")
-    sized = sized.withColumn("banded", F.col("size") > WHOLE)
-    codes = written(coded(sized, bits, count).join(sized.select("cid", "label", "banded"), "cid"), "vector-codes")
-    places = F.when(F.col("banded"), F.col("keys")).otherwise(F.array(F.lit(0).cast("bigint")))  # band 0 of one key: all meet
-    keys = codes.select("cid", F.xxhash64("label").alias("label"), "dim", F.posexplode(places).alias("band", "key"))
-    meeting = keys.groupBy("label", "dim", "band", "key").agg(F.count("*").alias("m")).where("m > 1")
-    parts = F.ceil(F.col("m") / PART).cast("bigint")
-    met = keys.join(meeting, ["label", "dim", "band", "key"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    met = met.select("cid", "label", "dim", "band", "key", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    groups = met.join(codes.select("cid", "n", "raw", "code", "factors"), "cid")
-    compared = written(_compared(groups, threshold, bits, wide), "vector-links")
+    classes = classes.withColumn("dim", F.size("embedding"))
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size")).where("size > 1")
+    parts = F.ceil(F.col("size") / PART).cast("bigint")
+    sizes = written(sizes.withColumn("parts", parts).withColumn("grp", F.monotonically_increasing_id()), "vector-groups")
+    groups, most = sizes.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    codes = written(coded(classes.join(F.broadcast(sizes) if groups <= BROADCAST_LABELS else sizes, ["label", "dim"])), "vector-codes")
+    small = codes.where(F.col("parts") <= WHOLE // PART)
+    met = small.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    met = met.select("cid", "n", "grp", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "raw", "code", "factors")
+    compared = written(_compared(met, threshold, wide), "vector-links")
+    large = sizes.where(F.col("parts") > WHOLE // PART)
+    if -(-most // PART) > WHOLE // PART:
+        compared = compared.union(written(_compared_apart(codes.where(F.col("parts") > WHOLE // PART), large, threshold, wide), "vector-links"))
     links = compared.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("links"))
     joined = components(compared.where("b is not null").select("a", "b"))
     named = classes.select("cid", "first", "n").join(joined.withColumnRenamed("id", "cid"), "cid", "left").join(links, "cid", "left")
