@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from saltmarsh.llm.common import ByRow, chosen, components, free_name, pieces, shared_dir, take, with_fields, written
+from saltmarsh.llm.common import BATCH_BYTES, ByRow, chosen, components, free_name, pieces, shared_dir, take, trim, with_fields, written
 from saltmarsh.llm.shingles import POSTINGS, common, meeting, postings, shingles, shingles_of, tokens_of
 
 #: Shingle hashes whose bits are counted at once. The words and their places are lists over the whole text: about 150
@@ -22,6 +22,8 @@ from saltmarsh.llm.shingles import POSTINGS, common, meeting, postings, shingles
 BLOCK = 1 << 17
 #: Words of 64 bits of a wide fingerprint, and least hashes by which texts are gathered.
 WIDE, STARS = 4, 4
+#: Shingles of the sets that are held at once where pairs are decided, in each of two parts.
+LOAD = 1 << 21
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -249,11 +251,11 @@ def similar(rows: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     Large groups are gathered first: texts that share one of their STARS least hashes meet the least of its texts only,
     which is linear. What is connected then is one class, and the exact search that follows forms pairs between classes.
     """
-    prints = texts.select("row", "prints", "size")
+    prints, sizes = texts.select("row", "prints", "size"), texts.select("row", "size")
     least = texts.select("row", F.explode("least").alias("h"))
     centre = least.groupBy("h").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
     stars = least.join(centre, "h").where("a <> row").selectExpr("a", "row b").distinct()
-    one = written(_alike(rows, _pruned(stars, prints, similarity), words, similarity), "simhash-stars")
+    one = written(_alike(rows, _pruned(stars, prints, similarity), sizes, words, similarity), "simhash-stars")
     groups = written(components(one), "simhash-classes").selectExpr("id row", "component")
     class_ = texts.select("row").join(groups, "row", "left").select("row", F.coalesce("component", "row").alias("value"))
     table = ByRow(class_, "simhash-class")
@@ -268,7 +270,7 @@ def similar(rows: DataFrame, texts: DataFrame, words: int, similarity: float) ->
                 yield postings(number[hit], value[hit], own, words, similarity, often, counts)
 
     met = meeting(rows.select("row", "text").mapInArrow(run, POSTINGS), similarity)
-    two = written(_alike(rows, _pruned(met, prints, similarity), words, similarity), "simhash-pairs")
+    two = written(_alike(rows, _pruned(met, prints, similarity), sizes, words, similarity), "simhash-pairs")
     return components(one.select("a", "b").union(two.select("a", "b")))
 
 
@@ -279,31 +281,93 @@ def _pruned(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame
     return written(pairs.where(sizes).where(_near(similarity)).select("a", "b"), "simhash-near")
 
 
-def _alike(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose sets reach the similarity. Only texts of pairs are read again; their sets go to the pairs."""
-    ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    table = ByRow(ids.select("row", F.lit(0).cast("bigint").alias("value")), "simhash-wanted")
+LOADED = "component bigint, x bigint, y bigint, a bigint, b bigint, own binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            b = b.filter(pa.array(table.find(b.column(0).to_numpy())[0]))
-            own = [shingles(x, words).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["row", "own"])
 
-    sets = written(rows.select("row", "text").mapInArrow(run, "row bigint, own binary"), "simhash-sets")
+def _alike(rows: DataFrame, pairs: DataFrame, sizes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): pairs whose sets reach the similarity and that connect all that the given ones (a written table) connect;
+    ``sizes`` (row, size) has the sizes of the sets. Only texts of pairs are read again.
 
-    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    A set is sent once to where the pairs of its component are, not once a pair. The sets of a component of more than LOAD
+    shingles are divided into parts, and those of each two parts meet."""
+    joined = written(components(pairs), "simhash-candidates").withColumnRenamed("id", "row")
+    table = ByRow(joined.selectExpr("row", "component value"), "simhash-wanted")
+    weight = joined.join(sizes, "row").groupBy("component").agg(F.sum("size").alias("size")).where(F.col("size") > LOAD)
+    wide = sorted((r.component, -(-r.size // LOAD)) for r in weight.collect())  # one for each LOAD shingles at most
+    large, parts = np.array([x for x, _ in wide], np.int64), np.array([x for _, x in wide], np.int64)
 
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.toDF(side, f"own_{side}"), side)
-    return pairs.select("a", "b", "own_a", "own_b").mapInArrow(tried, "a bigint, b bigint")
+    def divided(component: np.ndarray) -> np.ndarray:
+        out = np.ones(len(component), np.int64)
+        if len(large):
+            at = np.minimum(np.searchsorted(large, component), len(large) - 1)
+            out = np.where(large[at] == component, parts[at], 1)
+        return out
+
+    def part(row: int, count: int) -> int:
+        return xxh64_intdigest(row.to_bytes(8, "little", signed=True)) % count
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            number = b.column(0).to_numpy()
+            hit, component = table.find(number)
+            texts = b.column(1).filter(pa.array(hit))
+            out, size = [], 0
+            for row, c, count, text in zip(number[hit].tolist(), component[hit].tolist(), divided(component[hit]).tolist(), texts):
+                own, mine = shingles(text.as_py(), words).tobytes(), part(row, count)
+                for other in range(count):
+                    out.append((c, min(mine, other), max(mine, other), row, None, own))
+                    size += len(own)
+                    if size > BATCH_BYTES:
+                        yield _loaded(out)
+                        out, size = [], 0
+            yield _loaded(out)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, c = (batch.column(i).to_numpy() for i in range(3))
+            counts = divided(c)
+            x, y = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+            for i in np.flatnonzero(counts > 1).tolist():
+                x[i], y[i] = sorted((part(int(a[i]), int(counts[i])), part(int(b[i]), int(counts[i]))))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (c, x, y, a, b)), pa.nulls(len(a), pa.binary())], LOADED_NAMES)
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, root = None, {}, {}
+
+        def top(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                root[i] = i = root.get(up, up)
+            return i
+
+        for batch in batches:
+            good: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(5)))
+            for i, (c, x, y, a, b) in enumerate(keys):
+                if place != (c, x, y):
+                    place, held, root = (c, x, y), {}, {}
+                if b is None:
+                    held[a] = np.frombuffer(batch.column(5)[i].as_py(), np.uint64)
+                elif (p := top(a)) != (q := top(b)):  # else others connect them
+                    one, two = held[a], held[b]
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if both >= similarity * (len(one) + len(two) - both) - 1e-9:
+                        root[max(p, q)] = min(p, q)
+                        good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["a", "b"])
+        trim()
+
+    own = rows.select("row", "text").mapInArrow(sets, LOADED)
+    asked = pairs.join(joined.toDF("a", "component"), "a").select("a", "b", "component").mapInArrow(places, LOADED)
+    blocks = own.union(asked).repartition("component", "x", "y")
+    return blocks.sortWithinPartitions("component", "x", "y", F.col("b").asc_nulls_first()).mapInArrow(tried, "a bigint, b bigint")
+
+
+LOADED_NAMES = [x.split()[0] for x in LOADED.split(", ")]
+
+
+def _loaded(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * 5, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], LOADED_NAMES)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

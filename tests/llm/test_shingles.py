@@ -125,3 +125,34 @@ def test_stage_drops_near_copies(spark):
     rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far))]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, df, "").collect()) == [1, 3]
+
+
+def test_sets_are_sent_once_not_once_a_pair(spark, monkeypatch):
+    """60 texts that share 0.54 of their shingles, some of them near copies: 1,770 pairs to decide, of sets of 8 kB."""
+    monkeypatch.setattr(shingles, "COMMON", 0)  # so that all meet
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared, texts = [word() for _ in range(700)], []
+    for i in range(60):
+        texts.append(" ".join([*texts[i - 1].split()[:-20], *(word() for _ in range(20))] if i % 3 == 2 else [*shared, *(word() for _ in range(300))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    context, option = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+    before, old = context.statusStore().executorSummary("driver").totalShuffleWrite(), spark.conf.get(option)
+    spark.conf.set(option, "-1")
+    try:
+        assert sorted(r.doc_id for r in simhash.one_each(df, 5, 0.8).collect()) == [i for i in range(60) if i % 3 != 2]
+    finally:
+        spark.conf.set(option, old)
+    context.listenerBus().waitUntilEmpty(30_000)
+    assert 0 < context.statusStore().executorSummary("driver").totalShuffleWrite() - before < 4e6, "bytes sent"
+
+
+def test_one_each_with_sets_in_parts(spark, near, monkeypatch):
+    monkeypatch.setattr(simhash, "LOAD", 300)
+    roots = brute_components([brute_set(t) for _, t in near], alike)
+    least = {}
+    for (i, _), r in zip(near, roots):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    df = spark.createDataFrame(near, "doc_id bigint, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.one_each(df, 5, 0.8).collect()) == sorted(least.values())
