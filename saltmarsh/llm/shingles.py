@@ -14,9 +14,7 @@ from xxhash import xxh64_intdigest
 
 from saltmarsh.llm.common import pieces
 
-#: Texts that common shingles are counted on: one in SHARE, or all where that gives fewer than SAMPLE.
-SAMPLE, SHARE = 20_000, 8
-#: Common shingles that are known to the workers at most, and the texts of the sample that make a shingle common.
+#: Common shingles that are known to the workers at most, and the texts that make a shingle common.
 COMMON, OFTEN = 1 << 18, 3
 #: Shingles that a task counts at a time.
 COUNTED = 1 << 21
@@ -58,11 +56,9 @@ def prefix(own: np.ndarray, similarity: float, common: np.ndarray, counts: np.nd
 
 
 def common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that many texts of a table (row, text) hold, and about how many hold them. They only
-    set the order in which a set's shingles are taken, in which any order is right. A task counts COUNTED shingles at a
-    time and sends on those that it meets twice, so most, which are rare, are never shuffled."""
-    step = max(1, min(SHARE, texts.count() // SAMPLE))
-    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text")
+    """Sorted hashes of the shingles that many of all texts of a table (row, text) hold, and at least how many hold them. They
+    only set the order in which a set's shingles are taken, in which any order is right. A task counts COUNTED shingles at
+    a time and sends on those that it meets twice, so most, which are rare, are never shuffled."""
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
@@ -79,9 +75,9 @@ def common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         yield counted(held)
 
-    often = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    often = texts.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     top = often.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy() * step
+    h, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 

@@ -156,3 +156,12 @@ def test_one_each_with_sets_in_parts(spark, near, monkeypatch):
             least[r] = min(i, least.get(r, i))
     df = spark.createDataFrame(near, "doc_id bigint, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.one_each(df, 5, 0.8).collect()) == sorted(least.values())
+
+
+def test_common_shingles_are_counted_on_all_texts(spark):
+    """Of 48,000 texts, 100 shingles are in three, 100 in four and so on up to nine, the others in one."""
+    text = F.expr("CASE WHEN id < 4200 THEN concat('a b c d ', id div 42, ' ', CASE WHEN id % 42 < 3 THEN 3 WHEN id % 42 < 7 THEN 4 WHEN id % 42 < 12 THEN 5 WHEN id % 42 < 18 THEN 6 WHEN id % 42 < 25 THEN 7 WHEN id % 42 < 33 THEN 8 ELSE 9 END) ELSE concat('x', id) END")
+    texts = spark.range(0, 48_000, 1, 1).select(F.col("id").alias("row"), text.alias("text"))
+    h, n = shingles.common(texts, 6)
+    wanted = {int(shingles.shingles(f"a b c d {k} {m}", 6)[0]): m for k in range(100) for m in range(3, 10)}
+    assert dict(zip(h.tolist(), n.tolist())) == wanted and sorted(h.tolist()) == h.tolist()
