@@ -16,6 +16,9 @@ from saltmarsh.sources.catalog import Catalog, Manifest, TableMetadata
 
 #: Characters of a bound that is kept.
 LONGEST_BOUND = 256
+#: Files that a task writes at once; from as many partitions on, the rest of its rows is sorted by them. An open file takes up
+#: to a row group of memory.
+OPEN_FILES = 5
 _NOT_NULL = "NULL in the NOT NULL column "
 
 
@@ -36,6 +39,17 @@ def statistics_columns(table: TableMetadata) -> list[str]:
     return [f.name for f in table.schema if f.name in names and isinstance(f.dataType, bounded)]
 
 
+def unsorted(df: DataFrame) -> DataFrame:
+    """The frame in a copy of its session, whose writes don't sort the rows of a task that has few partitions: such a sort
+    takes memory for all rows, and a task gets as many as its input can't be divided below. The caller's session keeps its
+    setting, as other threads may be writing."""
+    spark = df.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set("spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES))
+    dataset = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset
+    return DataFrame(dataset.ofRows(own, df._jdf.queryExecution().analyzed()), spark)
+
+
 class Ingestor:
     """Appends frames to a table. With ``commit=False`` files wait for commit(), which publishes all in one snapshot."""
 
@@ -56,7 +70,7 @@ class Ingestor:
                 raise SchemaMismatch(f"partition column {f.column} is a column of the table")
             rows = rows.withColumn(f.column, transform(f, table.schema[f.source].dataType))
         folder = f"{table.location}/data/{uuid.uuid4().hex}"
-        writer = rows.hint("rebalance", *keys).write.partitionBy(*keys) if keys else rows.write
+        writer = unsorted(rows.hint("rebalance", *keys)).write.partitionBy(*keys) if keys else rows.write
         try:
             writer.parquet(folder)
         except PySparkException as e:
@@ -91,7 +105,7 @@ class Ingestor:
         schema = T.StructType([*table.schema, *(T.StructField(f.column, T.StringType()) for f in table.spec)])
         rows = self.catalog.spark.read.schema(schema).parquet(folder)
         # The path is percent-encoded; a plus stands for itself.
-        path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+        path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
         pairs = [x for f in table.spec for x in (F.lit(f.column), F.first(F.col(f"`{f.column}`")))]
         values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
@@ -102,11 +116,13 @@ class Ingestor:
                 found += [F.lit(c), F.when(F.length(text) <= LONGEST_BOUND, text)]
             return F.create_map(*found) if found else F.create_map().cast("map<string,string>")
 
-        out = rows.groupBy(path.alias("path")).agg(
+        # The set of a file's one size lets Spark keep a buffer for each file. For bounds of strings it would else sort all rows.
+        size = F.get(F.collect_set("_metadata.file_size"), F.lit(0))
+        out = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(
             F.lit("parquet").alias("format"), values.alias("partition_values"), F.count("*").alias("record_count"),
-            F.max("_metadata.file_size").alias("file_size"), bounds(F.min).alias("lower"), bounds(F.max).alias("upper"),
+            size.alias("file_size"), bounds(F.min).alias("lower"), bounds(F.max).alias("upper"),
         )
-        return out.where("record_count > 0")
+        return out.where("record_count > 0").withColumn("path", path)
 
     def commit(self, expected: int | None = None, once: tuple[str, int] | None = None) -> TableMetadata:
         """Publishes what is pending. With ``expected`` only if the table is still at that snapshot."""

@@ -280,3 +280,34 @@ def test_a_large_partition_is_written_by_several_tasks(spark, catalog):
     files = catalog.list_data_files("t")
     assert len(files) >= 4 and sum(f.record_count for f in files) == 40_000
     assert [f.lower["k"] for f in files] == ["1"] * len(files)
+
+
+def test_a_task_of_an_append_holds_no_rows_of_its_own(spark, catalog):
+    """Neither the write nor the bounds sort rows, also where one task gets all of a partition's, as its input is one part."""
+    context, tracker, most = spark.sparkContext, spark.sparkContext.statusTracker(), {}
+    store, schema = context._jsc.sc().statusStore(), T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    for n in (9, 900_000):
+        catalog.create_table(f"t{n}", schema, [PartitionField("name", "identity")])
+        rows = spark.range(0, n, 1, 1).selectExpr("id", "element_at(array('a', 'b', NULL), cast(id % 3 as int) + 1) name")
+        context.setJobGroup(f"append{n}", "")
+        try:
+            Ingestor(catalog, f"t{n}").append(rows)
+            context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        stages = {s for j in tracker.getJobIdsForGroup(f"append{n}") for s in tracker.getJobInfo(j).stageIds}
+        most[n] = max(store.lastStageAttempt(s).peakExecutionMemory() for s in stages)
+        files = catalog.list_data_files(f"t{n}")
+        assert sorted((f.lower["name"], f.upper["name"], f.record_count, f.file_size > 0) for f in files if f.lower["name"]) == [(x, x, n // 3, True) for x in "ab"]
+        assert sum(f.record_count for f in files) == n == catalog.table(f"t{n}").distinct().count()
+    assert most[900_000] <= most[9]
+
+
+def test_a_task_may_have_more_partitions_than_open_files(spark, catalog):
+    catalog.create_table("t", SCHEMA, [PartitionField("name", "identity")])
+    rows = spark.range(0, 1200, 1, 1).selectExpr("cast(id as int) id", "concat('n', id % 40) name", "cast(id as double) value")
+    Ingestor(catalog, "t").append(rows.coalesce(1))
+    files = catalog.list_data_files("t")
+    assert catalog.table("t").exceptAll(rows).count() == 0 and catalog.table("t").count() == 1200
+    assert len(files) == 40 and {f.record_count for f in files} == {30} and all(f.lower["name"] == f.upper["name"] == f.partition_values["name_identity"] for f in files)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
